@@ -183,7 +183,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     total = F.aggregate(F.map_values("c.by_dup"), F.lit(0), lambda a, x: a + x)
     most_dup = F.array_max(F.map_keys("c.by_dup"))
     single = joined.where(most_dup == 0).select("d.*", total.alias(n))
-    w = Window.partitionBy("d.doc_id", "d.source", f"d.{size}").orderBy(*[F.col(f"d.`{c}`") for c in docs.columns if dict(docs.dtypes)[c] != "map"])
+    w = Window.partitionBy("d.doc_id", "d.source", f"d.{size}").orderBy(*[F.col(f"d.`{c}`") for c in docs.columns if "map<" not in dict(docs.dtypes)[c]])
     several = joined.where(most_dup > 0).withColumn(dup, F.row_number().over(w) - 1).select("d.*", F.coalesce(F.element_at("c.by_dup", F.col(dup)), F.lit(0)).alias(n))
     both = single.unionByName(several)
     return both.where(F.col(n) > 0).withColumn(dup, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(dup, n, size)

@@ -59,12 +59,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, (offsets - offsets[0] if len(offsets) else np.zeros(1, dtype=np.int64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words; a text's bounds end a word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words; a text's bounds end a word. blank: by byte, what parts words."""
     n = len(data)
     if not n:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    ink = ~_WS[data]
+    ink = ~blank[data]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     before = np.empty(n, dtype=bool)
