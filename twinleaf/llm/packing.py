@@ -86,16 +86,18 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     """One row per piece, in place: no shuffle, and ids never leave the task."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).ids
-        end = np.array([END_ID], dtype="<u4")
+        encode = encoder(tokenizer_path).raw
+        end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.concatenate([encode(text if isinstance(text, str) else ""), end])
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    crc = zlib.crc32(part.tobytes())
-                    rows.append((doc_id, piece, start, len(part), crc, crc ^ (piece * 0x9E3779B1 & 0xFFFFFFFF)))
+            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            for low in range(0, len(texts), 128):
+                for doc_id, raw in zip(batch["doc_id"][low : low + 128], encode(texts[low : low + 128])):
+                    raw += end
+                    for piece, at in enumerate(range(0, len(raw), step)):
+                        part = raw[at : at + step]
+                        crc = zlib.crc32(part)
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, crc, crc ^ (piece * 0x9E3779B1 & 0xFFFFFFFF)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)

@@ -1,65 +1,94 @@
 """Exact ids of a public tokenizer, with the encodings of recurring words kept.
 
-word_bpe_49k drops white space and never joins across it, so the ids of a text
-are the ids of its white-space-separated chunks, one after the other. A chunk's ids
-are computed once by the library and kept in a table of bounded size.
+word_bpe_49k cuts a text into runs of letters, single digits and runs of other
+signs, drops white space and encodes each piece for itself. So the ids of a
+text are those of its pieces, one after the other; a piece's ids are computed
+by the library once and kept in a table of bounded size. This holds for texts
+of Latin letters, where lower case and composition are a matter of single
+characters; any other text goes to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 
 import numpy as np
 
-#: Chunks kept by a worker at most; beyond, the table starts anew.
-KEPT = 400_000
-SPACE = re.compile("[ \t\n\r\f\v]+")
-#: A chunk this long is encoded but not kept.
+#: Pieces kept by a worker at most; beyond, the table starts anew.
+KEPT = 500_000
+#: The characters up to U+024F of a general category: what \\p{L} and \\p{N} mean for Latin texts.
+_LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+#: How the tokenizer cuts a text (fixed by its file), for such texts.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: A character for which the rule above isn't relied on.
+OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-įı-ɏ]")
+SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>", re.I)
+#: A piece this long is encoded but not kept.
 LONG = 64
 
 
-class ChunkEncoder:
+class PieceEncoder:
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _fill(self, chunks: list[str]) -> dict[str, np.ndarray]:
-        """ids of the chunks that the table lacks."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(dict.fromkeys(chunks))
-        odd: dict[str, np.ndarray] = {}
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4")
-                (odd if len(c) > LONG else self.known)[c] = ids
-        return odd
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """All ids of the text, as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return np.empty(0, dtype="<u4")
-        chunks = [c for c in SPACE.split(text) if c]
-        known = self.known
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            odd = self._fill(chunks)
-            found = [odd[c] if c in odd else self.known[c] for c in chunks]
-        return np.concatenate(found) if found else np.empty(0, dtype="<u4")
+        self.known: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """ids of different pieces, parted by spaces, in one call."""
+        e = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids, words = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
+        cut = np.searchsorted(words, np.arange(len(pieces) + 1))
+        if len(words) and words[-1] != len(pieces) - 1:
+            return {p: self.whole(p).tobytes() for p in pieces}
+        raw, at = ids.tobytes(), (cut * 4).tolist()
+        return {p: raw[a:b] for p, a, b in zip(pieces, at, at[1:])}
 
-
-def encoder(path: str) -> ChunkEncoder:
+    def ids(self, text: str | None) -> np.ndarray:
+        """All ids of the text, as little-endian unsigned 32-bit numbers."""
+        return np.frombuffer(self.raw([text])[0], dtype="<u4")
+
+    def raw(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as bytes; the pieces unknown so far are encoded in one call."""
+        get = self.known.get
+        out: list[bytes] = [b""] * len(texts)
+        todo, new = [], {}
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if OTHER.search(text) or SPECIAL.search(text):
+                out[k] = self.whole(text).tobytes()
+                continue
+            pieces = PIECE.findall(text.lower())
+            found = list(map(get, pieces))
+            if None in found:
+                new.update((p, None) for p, f in zip(pieces, found) if f is None)
+                todo.append((k, pieces, found))
+            else:
+                out[k] = b"".join(found)
+        if new:
+            made = self._encode(list(new))
+            for k, pieces, found in todo:
+                out[k] = b"".join([made[p] if f is None else f for p, f in zip(pieces, found)])
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+            self.known.update((p, x) for p, x in made.items() if len(p) <= LONG)
+        return out
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
     """One per worker and file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
