@@ -16,8 +16,8 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces kept by a worker at most; beyond, the table starts anew.
-KEPT = 500_000
+#: Pieces in each of a worker's two generations: what a full generation saw and the one before it are kept.
+KEPT = 150_000
 #: The characters up to U+024F of a general category: what \\p{L} and \\p{N} mean for Latin texts.
 _LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
 #: How the tokenizer cuts a text (fixed by its file), for such texts.
@@ -36,6 +36,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -56,9 +57,9 @@ class PieceEncoder:
 
     def raw(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; the pieces unknown so far are encoded in one call."""
-        get = self.known.get
+        get, older = self.known.get, self.older.get
         out: list[bytes] = [b""] * len(texts)
-        todo, new = [], {}
+        todo, new, again = [], {}, {}
         for k, text in enumerate(texts):
             if not text:
                 continue
@@ -68,17 +69,22 @@ class PieceEncoder:
             pieces = PIECE.findall(text.lower())
             found = list(map(get, pieces))
             if None in found:
-                new.update((p, None) for p, f in zip(pieces, found) if f is None)
+                for p, f in zip(pieces, found):
+                    if f is None:
+                        if (x := older(p)) is None:
+                            new[p] = None
+                        else:
+                            again[p] = x
                 todo.append((k, pieces, found))
             else:
                 out[k] = b"".join(found)
-        if new:
-            made = self._encode(list(new))
+        if todo:
+            made = (self._encode(list(new)) if new else {}) | again
             for k, pieces, found in todo:
                 out[k] = b"".join([made[p] if f is None else f for p, f in zip(pieces, found)])
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
             self.known.update((p, x) for p, x in made.items() if len(p) <= LONG)
+            if len(self.known) > KEPT:
+                self.known, self.older = {}, self.known
         return out
 
 
