@@ -14,7 +14,7 @@
    copies by few exact checks. The second looks for all candidate pairs between different
    components, also between the pieces of a split group: there every set outside
    the group's largest component meets all pieces.
-5. Candidates are checked exactly on their whole sets. Components of the
+5. Candidates that bitmaps of four bits a token don't rule out are checked exactly on their whole sets. Components of the
    links come from large and small stars.
 
 A link between sets that the first round has already joined need not be found
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.storage import materialize, release
 from .shingles import mix, shingle_sets
-from .signature_tree import DEN, NUM, SignatureTree, WORDS, bitmap
+from .signature_tree import DEN, NUM, SignatureTree, WORDS, bitmap, can_link, wide_bitmap
 from .tables import table
 
 U = np.uint64
@@ -51,6 +51,8 @@ LOCAL_DF = 3
 PIECE = 1024
 #: Signatures that a task packs at once, and that a group of packed ones holds about.
 FLUSH, PER_TASK = 1_200_000, 1_000_000
+#: Ids of a bit table at most: 2^27 bits.
+MOST_WANTED = 1 << 23
 ROWS = "frequent boolean, doc_id long, n long, h1 long, h2 long, bits binary"
 
 
@@ -237,12 +239,49 @@ def _search(spanning: bool):
     return search
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = list(shingle_sets(b.column(1)))
-        for k in range(0, len(rows), 2000):
-            part = rows[k : k + 2000]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in part], pa.int64())), pa.array([s.tobytes() for _, s in part], pa.binary())], names=["doc_id", "tokens"])
+def _sets(wanted: np.ndarray | None):
+    """(doc_id, wide, tokens) of the rows (doc_id, text, slot) whose slot is in the wanted bits."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if wanted is not None:
+                slot = b.column(2).to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array((wanted[slot >> 6] >> (slot & 63).astype(U) & U(1)).astype(bool)))
+            for low in range(0, b.num_rows, 512):
+                part = b.slice(low, 512)
+                rows = list(shingle_sets(part.column(1)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([r for r, _ in rows], pa.int64())), pa.array([wide_bitmap(s) for _, s in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["doc_id", "wide", "tokens"])
+
+    return sets
+
+
+def token_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The shingle sets of the documents in needed.
+
+    For up to MOST_WANTED of them a bit table of their ids (16 bits each, 16 MB at most) goes to the
+    tasks, so that only their sets leave the scan. Beyond, their texts are joined.
+    """
+    n = needed.count()
+    schema = "doc_id long, wide binary, tokens binary"
+    if n > MOST_WANTED:
+        return docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(None), schema).dropDuplicates(["doc_id"])
+    size = 1 << max(10, (16 * n - 1).bit_length())
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    words = needed.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("v")).toPandas()
+    bits = np.zeros(size >> 6, dtype=U)
+    bits[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).view(U)
+    found = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets(bits), schema)
+    return found.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, size of a, bits of a, size of b, bits of b) the pairs that the wide bitmaps don't rule out."""
+    for x in batches:
+        n1, n2 = x.column(2).to_pylist(), x.column(4).to_pylist()
+        keep = [k for k in range(x.num_rows) if can_link(n1[k], np.frombuffer(x.column(3)[k].as_buffer(), dtype=np.uint8), n2[k], np.frombuffer(x.column(5)[k].as_buffer(), dtype=np.uint8))]
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at)], names=["a", "b"])
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +298,13 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialize(texts.mapInArrow(_sets, "doc_id long, tokens binary").dropDuplicates(["doc_id"]), "join-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "join-needed")
+    sets = materialize(token_sets(docs, needed), "join-sets")
+    size = F.expr("octet_length(tokens) div 8")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), size.alias("n1"), F.col("wide").alias("w1")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), size.alias("n2"), F.col("wide").alias("w2")), "b").select("a", "b", "n1", "w1", "n2", "w2")
+    likely = materialize(both.mapInArrow(_narrow, "a long, b long"), "join-likely")
+    left = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
     links = materialize(both.mapInArrow(_check, "a long, b long"), "join-links")
     release(sets)
@@ -290,7 +332,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         dealt = members.select("run", "rep", "n", "bits", "label", F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("bucket"))
         return dealt.groupBy("bucket").applyInPandas(_search(spanning), "a long, b long").distinct()
 
-    first = verified(docs, materialize(candidates(runs.withColumn("label", F.col("rep")), True), "join-pairs"))
+    tried = materialize(candidates(runs.withColumn("label", F.col("rep")), True), "join-pairs")
+    first = verified(docs, tried)
     joined = materialize(connected_components(first, "a", "b").withColumnRenamed("node", "rep"), "join-labels")
     labelled = runs.join(joined, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     mixed = labelled.groupBy(F.coalesce("base", "run").alias("group")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
@@ -300,8 +343,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     outside = split.join(largest, "base").where("label <> largest").select("base", "rep", "n", "bits", "label")
     guests = outside.join(split.select("base", "run").distinct(), "base").select("run", "base", "rep", "n", "bits", "label")
     members = open_runs.select("run", "base", "rep", "n", "bits", "label").unionByName(guests)
-    # a failed check need not be repeated, but it is cheap and rare
-    second = verified(docs, materialize(candidates(members, False), "join-pairs"))
+    second = verified(docs, materialize(candidates(members, False).join(tried, ["a", "b"], "left_anti"), "join-pairs"))
     joined = connected_components(first.unionByName(second), "a", "b").withColumnRenamed("node", "rep")
     return (
         own.select("doc_id", "n", "h1", "h2")

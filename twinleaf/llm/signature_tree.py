@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 1024
+BITS = 2048
 WORDS = BITS // 64
 LEAF, FANOUT = 32, 8
 U = np.uint64
@@ -28,6 +28,22 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(out).view(U)
 
 
+def wide_bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least four bits per token, a power of two in size."""
+    size = 1 << max(8, (4 * len(tokens) - 1).bit_length())
+    out = np.zeros(size, dtype=np.uint8)
+    out[(tokens >> U(7)).astype(np.int64) & (size - 1)] = 1
+    return np.packbits(out).tobytes()
+
+
+def can_link(n1: int, wide1: np.ndarray, n2: int, wide2: np.ndarray) -> bool:
+    """Whether two sets can reach the threshold, by their wide bitmaps (bytes); the wider one is folded."""
+    k = min(len(wide1), len(wide2))
+    x, y = (np.bitwise_or.reduce(w.reshape(-1, k), axis=0).view(U) for w in (wide1, wide2))
+    p1, p2, shared = (int(np.bitwise_count(z).sum()) for z in (x, y, x & y))
+    return bool(_possible(n1, n1, p1, n2, n2, p2, shared))
+
+
 def _possible(n1, m1, p1, n2, m2, p2, shared) -> np.ndarray:
     """Whether sets of sizes n1..m1 and n2..m2 with at least p1, p2 bits, shared of them common, can reach the threshold."""
     close = (DEN * m1 >= NUM * n2) & (DEN * m2 >= NUM * n1)
