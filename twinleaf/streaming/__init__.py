@@ -1 +1 @@
-
+"""Structured Streaming: exact groups kept up to date as fragments arrive."""
