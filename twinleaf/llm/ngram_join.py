@@ -6,7 +6,8 @@
    of each under any fixed order. The order here is rare first: tokens in the
    broadcast list of frequent ones (at most MOST_FREQUENT, counted over all documents) come last,
    so that passages which many documents share meet in few groups. The list
-   decides speed alone, never the result.
+   decides speed alone, never the result. The place of a token in the order bounds the size of a
+   partner with which it is the first token shared.
 3. The sets that share such a token form a group. Runs of equal groups are
    kept once. A group that is frequent by the list is split into pieces of about PIECE sets.
 4. Per group a signature tree is built and traversed against itself. The
@@ -104,38 +105,38 @@ def _signatures(frequent: tuple[np.ndarray, np.ndarray], parts: int):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
-        sets: list[tuple[int, int, int]] = []
-        split: list[tuple[np.ndarray, int, int]] = []
+        sets: list[tuple[int, int, np.ndarray]] = []
+        split: list[tuple[np.ndarray, int, int, np.ndarray]] = []
         seen: set[tuple[int, int]] = set()
         held = 0
 
-        def rows(key: np.ndarray, h: np.ndarray, n: np.ndarray, base: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        def rows(key: np.ndarray, h: np.ndarray, n: np.ndarray, most: np.ndarray, base: np.ndarray | None) -> Iterator[pa.RecordBatch]:
             part = (key >> U(40)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
-            key, h, n, part = key[order], h[order], n[order], part[order]
+            key, h, n, most, part = key[order], h[order], n[order], most[order], part[order]
             base = base[order] if base is not None else None
             cuts = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 lo, hi = cuts[p], cuts[p + 1]
                 if hi > lo:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p], pa.int32()), pa.array([(key[lo:hi] if base is not None else key[lo:hi].astype(np.uint32)).tobytes()]), pa.array([h[lo:hi].tobytes()]), pa.array([n[lo:hi].tobytes()]), pa.array([base[lo:hi].tobytes() if base is not None else None], pa.binary())],
-                        names=["part", "keys", "sets", "sizes", "bases"],
+                        [pa.array([p], pa.int32()), pa.array([(key[lo:hi] if base is not None else key[lo:hi].astype(np.uint32)).tobytes()]), pa.array([h[lo:hi].tobytes()]), pa.array([n[lo:hi].tobytes()]), pa.array([most[lo:hi].tobytes()]), pa.array([base[lo:hi].tobytes() if base is not None else None], pa.binary())],
+                        names=["part", "keys", "sets", "sizes", "largest", "bases"],
                     )
 
         def flush() -> Iterator[pa.RecordBatch]:
             if keys:
                 key = np.concatenate(keys)
-                times = np.array([c for _, _, c in sets])
-                yield from rows(key, np.repeat(np.array([h for h, _, _ in sets], dtype=U), times), np.repeat(np.array([n for _, n, _ in sets], dtype=np.int32), times), None)
+                times = np.array([len(m) for _, _, m in sets])
+                yield from rows(key, np.repeat(np.array([h for h, _, _ in sets], dtype=U), times), np.repeat(np.array([n for _, n, _ in sets], dtype=np.int32), times), np.concatenate([m for _, _, m in sets]), None)
             if split:
-                base = np.concatenate([k for k, _, _ in split])
-                times = np.array([len(k) for k, _, _ in split])
-                h = np.repeat(np.array([h for _, h, _ in split], dtype=U), times)
-                n = np.repeat(np.array([n for _, _, n in split], dtype=np.int32), times)
+                base = np.concatenate([k for k, _, _, _ in split])
+                times = np.array([len(k) for k, _, _, _ in split])
+                h = np.repeat(np.array([h for _, h, _, _ in split], dtype=U), times)
+                n = np.repeat(np.array([n for _, _, n, _ in split], dtype=np.int32), times)
                 with np.errstate(over="ignore"):
                     at = mix(h ^ base) % pieces[np.searchsorted(common, base)].astype(U)
-                    yield from rows(mix(base + (at + U(1)) * U(0x9E3779B97F4A7C15)), h, n, base)
+                    yield from rows(mix(base + (at + U(1)) * U(0x9E3779B97F4A7C15)), h, n, np.concatenate([m for _, _, _, m in split]), base)
             keys.clear(), sets.clear(), split.clear()
 
         for b in batches:
@@ -147,6 +148,8 @@ def _signatures(frequent: tuple[np.ndarray, np.ndarray], parts: int):
                     continue
                 seen.add((n, h))
                 take = prefix_length(n)
+                # if the first token shared is the one at place i, the overlap is at most n - i: the partner has largest tokens at most
+                largest = ((4 * n - 7 * np.arange(take, dtype=np.int64)) // 3).astype(np.int32)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     hit = common[at] == s
@@ -158,14 +161,15 @@ def _signatures(frequent: tuple[np.ndarray, np.ndarray], parts: int):
                         often, place = often[chosen], place[chosen]
                         big = pieces[place] > 1
                         if big.any():
-                            split.append((often[big], h, n))
+                            split.append((often[big], h, n, largest[take - more :][big]))
                             held += int(big.sum())
+                        largest = np.concatenate([largest[: take - more], largest[take - more :][~big]])
                         rare = np.concatenate([rare, often[~big]])
                 else:
                     rare = s[:take]
                 if len(rare):
                     keys.append(mix(rare))
-                    sets.append((h, n, len(rare)))
+                    sets.append((h, n, largest))
                     held += len(rare)
                 if held >= FLUSH:
                     yield from flush()
@@ -178,28 +182,33 @@ def _signatures(frequent: tuple[np.ndarray, np.ndarray], parts: int):
 
 
 def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(run, base, h1, n): the sets of each token that two sets or more share; equal groups once."""
-    out = []
+    """(run, base, h1, n, largest): the sets of each token that two sets or more share; equal groups once."""
+    out = [pd.DataFrame({"run": pd.Series(dtype="int64"), "base": pd.Series(dtype="Int64"), "h1": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "largest": pd.Series(dtype="int64")})]
     for split, rows in pdf.groupby(pdf["bases"].notna()):
         key = np.concatenate([np.frombuffer(x, dtype=U if split else np.uint32) for x in rows["keys"]])
         h = np.concatenate([np.frombuffer(x, dtype=U) for x in rows["sets"]])
-        n = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in rows["sizes"]])
+        n = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in rows["sizes"]]).astype(np.int64)
+        most = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in rows["largest"]]).astype(np.int64)
         base = np.concatenate([np.frombuffer(x, dtype=U) for x in rows["bases"]]) if split else None
-        order = np.lexsort((h, n, key))
-        key, h, n = key[order], h[order], n[order]
+        order = np.lexsort((-most, h, n, key))
+        key, h, n, most = key[order], h[order], n[order], most[order]
         base = base[order] if split else None
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])
-        key, h, n = key[new], h[new], n[new]
+        key, h, n, most = key[new], h[new], n[new], most[new]
         if split:
-            out.append(pd.DataFrame({"run": mix(key).view(np.int64), "base": pd.array(base[new].view(np.int64), dtype="Int64"), "h1": h.view(np.int64), "n": n.astype(np.int64)}))
+            out.append(pd.DataFrame({"run": mix(key).view(np.int64), "base": pd.array(base[new].view(np.int64), dtype="Int64"), "h1": h.view(np.int64), "n": n, "largest": most}))
             continue
-        # a set without another of fitting size in its group has no partner there
-        near = (key[1:] == key[:-1]) & (DEN * n[:-1].astype(np.int64) >= NUM * n[1:].astype(np.int64))
-        keep = np.zeros(len(key), dtype=bool)
-        keep[1:] |= near
-        keep[:-1] |= near
-        key, h, n, near = key[keep], h[keep], n[keep].astype(np.int64), None
+        for _ in range(3):  # a set without another of fitting size in its group has no partner there
+            if not len(key):
+                break
+            rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
+            at = rank + n
+            others = np.searchsorted(at, rank + most, side="right") - np.searchsorted(at, rank + (NUM * n + DEN - 1) // DEN, side="left") - (n <= most)
+            keep = others > 0
+            key, h, n, most = key[keep], h[keep], n[keep], most[keep]
+            if keep.all():
+                break
         if not len(key):
             continue
         first = np.ones(len(key), dtype=bool)
@@ -208,20 +217,19 @@ def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
         size = np.diff(np.append(cut, len(key)))
         with np.errstate(over="ignore"):
             run = mix(np.add.reduceat(mix(h ^ U(0x2545F4914F6CDD1D)), cut) + size.astype(U))
-        _, once = np.unique(run, return_index=True)
-        mask = np.zeros(len(cut), dtype=bool)
-        mask[once] = True
-        rows_kept = np.repeat(mask, size)
-        out.append(pd.DataFrame({"run": np.repeat(run, size)[rows_kept].view(np.int64), "base": pd.array([None] * int(rows_kept.sum()), dtype="Int64"), "h1": h[rows_kept].view(np.int64), "n": n[rows_kept]}))
-    return pd.concat(out) if out else pd.DataFrame({"run": pd.Series(dtype="int64"), "base": pd.Series(dtype="Int64"), "h1": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+        every = np.repeat(size > 1, size)
+        got = pd.DataFrame({"run": np.repeat(run, size).view(np.int64), "h1": h.view(np.int64), "n": n, "largest": most})[every]
+        got = got.groupby(["run", "h1", "n"], as_index=False, sort=False)["largest"].max()
+        out.append(got.assign(base=pd.array([None] * len(got), dtype="Int64"))[["run", "base", "h1", "n", "largest"]])
+    return pd.concat(out)
 
 
 def _search(spanning: bool):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         run = pdf["run"].to_numpy()
-        order = np.lexsort((pdf["rep"].to_numpy(), run))
+        order = np.lexsort((-pdf["largest"].to_numpy(), pdf["rep"].to_numpy(), run))
         run, rep = run[order], pdf["rep"].to_numpy()[order]
-        size, label = pdf["n"].to_numpy()[order], pdf["label"].to_numpy()[order]
+        size, label, most = pdf["n"].to_numpy()[order], pdf["label"].to_numpy()[order], pdf["largest"].to_numpy()[order]
         bits = np.frombuffer(b"".join(pdf["bits"].to_numpy()[order]), dtype=U).reshape(-1, WORDS)
         cut = np.append(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), len(run))
         a, b = [], []
@@ -229,7 +237,7 @@ def _search(spanning: bool):
             once = np.unique(rep[lo:hi], return_index=True)[1] + lo if hi - lo > 1 else ()
             if len(once) < 2:
                 continue
-            i, j = SignatureTree(size[once], bits[once], label[once]).pairs(spanning)
+            i, j = SignatureTree(size[once], bits[once], label[once], most[once]).pairs(spanning)
             a.append(rep[once][i])
             b.append(rep[once][j])
         x = np.concatenate(a) if a else np.empty(0, dtype=np.int64)
@@ -323,13 +331,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = materialize(own.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "join-classes")
     expected = classes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(expected // PER_TASK) + 1)
-    packed = docs.select("text").mapInArrow(_signatures((common[order], counts[order]), parts), "part int, keys binary, sets binary, sizes binary, bases binary")
-    found = packed.groupBy("part").applyInPandas(_runs, "run long, base long, h1 long, n long").distinct()
-    runs = materialize(found.join(classes.select("h1", "n", "rep", "bits"), ["h1", "n"]).select("run", "base", "rep", "n", "bits"), "join-runs")
+    packed = docs.select("text").mapInArrow(_signatures((common[order], counts[order]), parts), "part int, keys binary, sets binary, sizes binary, largest binary, bases binary")
+    found = packed.groupBy("part").applyInPandas(_runs, "run long, base long, h1 long, n long, largest long").groupBy("run", "base", "h1", "n").agg(F.max("largest").alias("largest"))
+    runs = materialize(found.join(classes.select("h1", "n", "rep", "bits"), ["h1", "n"]).select("run", "base", "rep", "n", "largest", "bits"), "join-runs")
     buckets = parts * 4
 
     def candidates(members: DataFrame, spanning: bool) -> DataFrame:
-        dealt = members.select("run", "rep", "n", "bits", "label", F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("bucket"))
+        dealt = members.select("run", "rep", "n", "largest", "bits", "label", F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("bucket"))
         return dealt.groupBy("bucket").applyInPandas(_search(spanning), "a long, b long").distinct()
 
     tried = materialize(candidates(runs.withColumn("label", F.col("rep")), True), "join-pairs")
@@ -339,10 +347,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy(F.coalesce("base", "run").alias("group")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
     open_runs = materialize(labelled.withColumn("group", F.coalesce("base", "run")).join(mixed, "group", "left_semi"), "join-open")
     split = open_runs.where("base is not null")
-    largest = split.groupBy("base", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("base").agg(F.max_by("label", "c").alias("largest"))
-    outside = split.join(largest, "base").where("label <> largest").select("base", "rep", "n", "bits", "label")
-    guests = outside.join(split.select("base", "run").distinct(), "base").select("run", "base", "rep", "n", "bits", "label")
-    members = open_runs.select("run", "base", "rep", "n", "bits", "label").unionByName(guests)
+    largest = split.groupBy("base", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("base").agg(F.max_by("label", "c").alias("usual"))
+    outside = split.join(largest, "base").where("label <> usual").select("base", "rep", "n", "largest", "bits", "label")
+    guests = outside.join(split.select("base", "run").distinct(), "base").select("run", "base", "rep", "n", "largest", "bits", "label")
+    members = open_runs.select("run", "base", "rep", "n", "largest", "bits", "label").unionByName(guests)
     second = verified(docs, materialize(candidates(members, False).join(tried, ["a", "b"], "left_anti"), "join-pairs"))
     joined = connected_components(first.unionByName(second), "a", "b").withColumnRenamed("node", "rep")
     return (

@@ -53,17 +53,17 @@ def _possible(n1, m1, p1, n2, m2, p2, shared) -> np.ndarray:
 
 
 class SignatureTree:
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray) -> None:
-        """sizes (m), bits (m, WORDS), classes (m): pairs within a class are not looked for."""
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray, largest: np.ndarray) -> None:
+        """sizes (m), bits (m, WORDS), classes (m), largest (m): pairs within a class, or with a partner over largest, are not looked for."""
         self.order = np.lexsort((classes, bits[:, 0], sizes))
-        self.sizes, self.bits, self.classes = sizes[self.order], bits[self.order], classes[self.order]
+        self.sizes, self.bits, self.classes, self.largest = sizes[self.order], bits[self.order], classes[self.order], largest[self.order]
         self.pops = np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
         m = len(sizes)
         cut = np.arange(0, m, LEAF)
         single = lambda c, k: np.where(np.minimum.reduceat(c, k) == np.maximum.reduceat(c, k), np.minimum.reduceat(c, k), -1)
         level = {
             "or": np.bitwise_or.reduceat(self.bits, cut, axis=0),
-            "min": np.minimum.reduceat(self.sizes, cut), "max": np.maximum.reduceat(self.sizes, cut),
+            "min": np.minimum.reduceat(self.sizes, cut), "max": np.maximum.reduceat(self.sizes, cut), "most": np.maximum.reduceat(self.largest, cut),
             "pop": np.minimum.reduceat(self.pops, cut), "class": single(self.classes, cut),
         }
         self.levels = [level]
@@ -71,7 +71,7 @@ class SignatureTree:
             cut = np.arange(0, len(level["min"]), FANOUT)
             level = {
                 "or": np.bitwise_or.reduceat(level["or"], cut, axis=0),
-                "min": np.minimum.reduceat(level["min"], cut), "max": np.maximum.reduceat(level["max"], cut),
+                "min": np.minimum.reduceat(level["min"], cut), "max": np.maximum.reduceat(level["max"], cut), "most": np.maximum.reduceat(level["most"], cut),
                 "pop": np.minimum.reduceat(level["pop"], cut), "class": single(level["class"], cut),
             }
             self.levels.append(level)
@@ -83,6 +83,7 @@ class SignatureTree:
             a, b = i[k : k + 65536], j[k : k + 65536]
             shared = np.bitwise_count(x["or"][a] & x["or"][b]).sum(axis=1).astype(np.int64)
             keep = _possible(x["min"][a], x["max"][a], x["pop"][a], x["min"][b], x["max"][b], x["pop"][b], shared)
+            keep &= (x["min"][b] <= x["most"][a]) & (x["min"][a] <= x["most"][b])
             out[k : k + 65536] = keep & ~((x["class"][a] == x["class"][b]) & (x["class"][a] >= 0))
         return out
 
@@ -108,6 +109,7 @@ class SignatureTree:
         shared = np.bitwise_count(self.bits[p][:, None, :] & self.bits[q][None, :, :]).sum(axis=2).astype(np.int64)
         s1, s2, p1, p2 = self.sizes[p][:, None], self.sizes[q][None, :], self.pops[p][:, None], self.pops[q][None, :]
         ok = _possible(s1, s1, p1, s2, s2, p2, shared) & (self.classes[p][:, None] != self.classes[q][None, :])
+        ok &= (s2 <= self.largest[p][:, None]) & (s1 <= self.largest[q][None, :])
         x, y = np.nonzero(np.triu(ok, 1) if a == b else ok)
         return x + a * LEAF, y + b * LEAF
 
