@@ -52,9 +52,11 @@ LOCAL_DF = 3
 PIECE = 1024
 #: Signatures that a task packs at once, and that a group of packed ones holds about.
 FLUSH, PER_TASK = 1_200_000, 1_000_000
+#: Sets above this size carry a wide bitmap besides.
+WIDE_FROM = 1024
 #: Ids of a bit table at most: 2^27 bits.
 MOST_WANTED = 1 << 23
-ROWS = "frequent boolean, doc_id long, n long, h1 long, h2 long, bits binary"
+ROWS = "frequent boolean, doc_id long, n long, h1 long, h2 long, bits binary, wide binary"
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,19 +70,22 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = h[c >= LOCAL_DF], c[c >= LOCAL_DF]
         pool.clear()
         zero = pa.array(np.zeros(len(h), dtype=np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([True] * len(h), pa.bool_()), zero, pa.array(c.astype(np.int64)), pa.array(h.view(np.int64)), zero, pa.nulls(len(h), pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([True] * len(h), pa.bool_()), zero, pa.array(c.astype(np.int64)), pa.array(h.view(np.int64)), zero, pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=names)
 
-    names = ["frequent", "doc_id", "n", "h1", "h2", "bits"]
+    names = ["frequent", "doc_id", "n", "h1", "h2", "bits", "wide"]
     for b in batches:
         ids = b.column(0)
         n, h1, h2 = (np.zeros(len(ids), dtype=np.int64) for _ in range(3))
         bits: list[bytes | None] = [None] * len(ids)
+        wide: list[bytes | None] = [None] * len(ids)
         for row, s in shingle_sets(b.column(1)):
             with np.errstate(over="ignore"):
                 a = mix(s).sum(dtype=U)
                 c = mix(s ^ U(0x5DEECE66D1234567)).sum(dtype=U)
             n[row], h1[row], h2[row] = len(s), a.view(np.int64), c.view(np.int64)
             bits[row] = bitmap(s).tobytes()
+            if len(s) > WIDE_FROM:
+                wide[row] = wide_bitmap(s)
             if int(a) not in seen:
                 seen.add(int(a))
                 pool.append(s)
@@ -90,7 +95,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = 0
                 if len(seen) > 1_000_000:
                     seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([False] * len(ids), pa.bool_()), ids, pa.array(n), pa.array(h1), pa.array(h2), pa.array(bits, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(ids), pa.bool_()), ids, pa.array(n), pa.array(h1), pa.array(h2), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], names=names)
     yield frequent()
 
 
@@ -182,8 +187,11 @@ def _signatures(frequent: tuple[np.ndarray, np.ndarray], parts: int):
 
 
 def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(run, base, h1, n, largest): the sets of each token that two sets or more share; equal groups once."""
-    out = [pd.DataFrame({"run": pd.Series(dtype="int64"), "base": pd.Series(dtype="Int64"), "h1": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "largest": pd.Series(dtype="int64")})]
+    """(run, first, base, h1, n, largest): the sets of each token that two sets or more share; equal groups once.
+
+    first deals the groups out: those with the same smallest set go together, the pieces of a split one apart.
+    """
+    out = [pd.DataFrame({"run": pd.Series(dtype="int64"), "first": pd.Series(dtype="int64"), "base": pd.Series(dtype="Int64"), "h1": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "largest": pd.Series(dtype="int64")})]
     for split, rows in pdf.groupby(pdf["bases"].notna()):
         key = np.concatenate([np.frombuffer(x, dtype=U if split else np.uint32) for x in rows["keys"]])
         h = np.concatenate([np.frombuffer(x, dtype=U) for x in rows["sets"]])
@@ -197,7 +205,7 @@ def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
         new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])
         key, h, n, most = key[new], h[new], n[new], most[new]
         if split:
-            out.append(pd.DataFrame({"run": mix(key).view(np.int64), "base": pd.array(base[new].view(np.int64), dtype="Int64"), "h1": h.view(np.int64), "n": n, "largest": most}))
+            out.append(pd.DataFrame({"run": mix(key).view(np.int64), "first": mix(key).view(np.int64), "base": pd.array(base[new].view(np.int64), dtype="Int64"), "h1": h.view(np.int64), "n": n, "largest": most}))
             continue
         for _ in range(3):  # a set without another of fitting size in its group has no partner there
             if not len(key):
@@ -218,26 +226,31 @@ def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
         with np.errstate(over="ignore"):
             run = mix(np.add.reduceat(mix(h ^ U(0x2545F4914F6CDD1D)), cut) + size.astype(U))
         every = np.repeat(size > 1, size)
-        got = pd.DataFrame({"run": np.repeat(run, size).view(np.int64), "h1": h.view(np.int64), "n": n, "largest": most})[every]
-        got = got.groupby(["run", "h1", "n"], as_index=False, sort=False)["largest"].max()
-        out.append(got.assign(base=pd.array([None] * len(got), dtype="Int64"))[["run", "base", "h1", "n", "largest"]])
+        smallest = np.minimum.reduceat(h, cut)
+        got = pd.DataFrame({"run": np.repeat(run, size).view(np.int64), "first": np.repeat(smallest, size).view(np.int64), "h1": h.view(np.int64), "n": n, "largest": most})[every]
+        got = got.groupby(["run", "first", "h1", "n"], as_index=False, sort=False)["largest"].max()
+        out.append(got.assign(base=pd.array([None] * len(got), dtype="Int64"))[["run", "first", "base", "h1", "n", "largest"]])
     return pd.concat(out)
 
 
 def _search(spanning: bool):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        run = pdf["run"].to_numpy()
-        order = np.lexsort((-pdf["largest"].to_numpy(), pdf["rep"].to_numpy(), run))
-        run, rep = run[order], pdf["rep"].to_numpy()[order]
-        size, label, most = pdf["n"].to_numpy()[order], pdf["label"].to_numpy()[order], pdf["largest"].to_numpy()[order]
-        bits = np.frombuffer(b"".join(pdf["bits"].to_numpy()[order]), dtype=U).reshape(-1, WORDS)
+        """A row is a set with the groups that it is in, and its largest partner in each."""
+        pdf = pdf.sort_values("rep", kind="stable")
+        times = pdf["runs"].map(len).to_numpy()
+        run, most, at = np.concatenate(list(pdf["runs"])), np.concatenate(list(pdf["limits"])), np.repeat(np.arange(len(pdf)), times)
+        order = np.lexsort((-most, at, run))
+        run, most, at = run[order], most[order], at[order]
+        reps, sizes, labels, wides = (pdf[c].to_numpy() for c in ("rep", "n", "label", "wide"))
+        rep, size, label, wide = reps[at], sizes[at], labels[at], wides[at]
+        table = np.frombuffer(b"".join(pdf["bits"]), dtype=U).reshape(-1, WORDS)
         cut = np.append(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), len(run))
         a, b = [], []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             once = np.unique(rep[lo:hi], return_index=True)[1] + lo if hi - lo > 1 else ()
             if len(once) < 2:
                 continue
-            i, j = SignatureTree(size[once], bits[once], label[once], most[once]).pairs(spanning)
+            i, j = SignatureTree(size[once], table[at[once]], label[once], most[once], list(wide[once])).pairs(spanning)
             a.append(rep[once][i])
             b.append(rep[once][j])
         x = np.concatenate(a) if a else np.empty(0, dtype=np.int64)
@@ -315,7 +328,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     left = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
     links = materialize(both.mapInArrow(_check, "a long, b long"), "join-links")
-    release(sets)
+    for used in (sets, likely, needed):
+        release(used)
     return links
 
 
@@ -328,16 +342,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     top = rows.where("frequent").groupBy("h1").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT_DF}").orderBy(F.desc("n"), "h1").limit(MOST_FREQUENT).toPandas()
     common, counts = top["h1"].to_numpy(dtype=np.int64).view(U), top["n"].to_numpy(dtype=np.int64)
     order = np.argsort(common)
-    classes = materialize(own.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "join-classes")
+    classes = materialize(own.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "join-classes")
     expected = classes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(expected // PER_TASK) + 1)
     packed = docs.select("text").mapInArrow(_signatures((common[order], counts[order]), parts), "part int, keys binary, sets binary, sizes binary, largest binary, bases binary")
-    found = packed.groupBy("part").applyInPandas(_runs, "run long, base long, h1 long, n long, largest long").groupBy("run", "base", "h1", "n").agg(F.max("largest").alias("largest"))
-    runs = materialize(found.join(classes.select("h1", "n", "rep", "bits"), ["h1", "n"]).select("run", "base", "rep", "n", "largest", "bits"), "join-runs")
+    found = packed.groupBy("part").applyInPandas(_runs, "run long, first long, base long, h1 long, n long, largest long").groupBy("run", "first", "base", "h1", "n").agg(F.max("largest").alias("largest"))
+    runs = materialize(found.join(classes.select("h1", "n", "rep"), ["h1", "n"]).select("run", "first", "base", "rep", "n", "largest"), "join-runs")
     buckets = parts * 4
 
     def candidates(members: DataFrame, spanning: bool) -> DataFrame:
-        dealt = members.select("run", "rep", "n", "largest", "bits", "label", F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("bucket"))
+        # a set's bitmaps go to a bucket once, whatever the number of its groups there
+        bucket = F.pmod(F.xxhash64("first"), F.lit(buckets)).alias("bucket")
+        dealt = members.groupBy(bucket, "rep", "n", "label").agg(F.collect_list("run").alias("runs"), F.collect_list("largest").alias("limits")).join(classes.select("rep", "bits", "wide"), "rep")
         return dealt.groupBy("bucket").applyInPandas(_search(spanning), "a long, b long").distinct()
 
     tried = materialize(candidates(runs.withColumn("label", F.col("rep")), True), "join-pairs")
@@ -346,11 +362,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labelled = runs.join(joined, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     mixed = labelled.groupBy(F.coalesce("base", "run").alias("group")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
     open_runs = materialize(labelled.withColumn("group", F.coalesce("base", "run")).join(mixed, "group", "left_semi"), "join-open")
+    release(runs)
     split = open_runs.where("base is not null")
     largest = split.groupBy("base", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("base").agg(F.max_by("label", "c").alias("usual"))
-    outside = split.join(largest, "base").where("label <> usual").select("base", "rep", "n", "largest", "bits", "label")
-    guests = outside.join(split.select("base", "run").distinct(), "base").select("run", "base", "rep", "n", "largest", "bits", "label")
-    members = open_runs.select("run", "base", "rep", "n", "largest", "bits", "label").unionByName(guests)
+    outside = split.join(largest, "base").where("label <> usual").select("base", "rep", "n", "largest", "label")
+    guests = outside.join(split.select("base", "run", "first").distinct(), "base").select("run", "first", "base", "rep", "n", "largest", "label")
+    members = open_runs.select("run", "first", "base", "rep", "n", "largest", "label").unionByName(guests)
     second = verified(docs, materialize(candidates(members, False).join(tried, ["a", "b"], "left_anti"), "join-pairs"))
     joined = connected_components(first.unionByName(second), "a", "b").withColumnRenamed("node", "rep")
     return (

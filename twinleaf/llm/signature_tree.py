@@ -53,10 +53,14 @@ def _possible(n1, m1, p1, n2, m2, p2, shared) -> np.ndarray:
 
 
 class SignatureTree:
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray, largest: np.ndarray) -> None:
-        """sizes (m), bits (m, WORDS), classes (m), largest (m): pairs within a class, or with a partner over largest, are not looked for."""
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray, largest: np.ndarray, wide: list[bytes | None] | None = None) -> None:
+        """sizes (m), bits (m, WORDS), classes (m), largest (m): pairs within a class, or with a partner over largest, are not looked for.
+
+        wide: wide bitmaps of large sets, for which BITS tell too little; they are asked pair by pair.
+        """
         self.order = np.lexsort((classes, bits[:, 0], sizes))
         self.sizes, self.bits, self.classes, self.largest = sizes[self.order], bits[self.order], classes[self.order], largest[self.order]
+        self.wide = [np.frombuffer(wide[k], dtype=np.uint8) if wide[k] is not None else None for k in self.order] if wide is not None else None
         self.pops = np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
         m = len(sizes)
         cut = np.arange(0, m, LEAF)
@@ -113,6 +117,12 @@ class SignatureTree:
         x, y = np.nonzero(np.triu(ok, 1) if a == b else ok)
         return x + a * LEAF, y + b * LEAF
 
+    def likely(self, x: int, y: int) -> bool:
+        """Whether the wide bitmaps, if both sets have one, leave the pair possible."""
+        if self.wide is None or self.wide[x] is None or self.wide[y] is None:
+            return True
+        return can_link(int(self.sizes[x]), self.wide[x], int(self.sizes[y]), self.wide[y])
+
     def pairs(self, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
         """Candidate pairs as places of the input; with spanning, a forest that joins whatever candidates join."""
         out_i, out_j = [], []
@@ -145,12 +155,15 @@ class SignatureTree:
                 continue
             x, y = self.candidates(a, b)
             if not spanning:
+                if self.wide is not None and len(x):
+                    keep = np.array([self.likely(u, v) for u, v in zip(x.tolist(), y.tolist(), strict=True)])
+                    x, y = x[keep], y[keep]
                 out_i.append(x)
                 out_j.append(y)
                 continue
             for u, v in zip(x.tolist(), y.tolist(), strict=True):
                 ru, rv = root(u), root(v)
-                if ru != rv:
+                if ru != rv and self.likely(u, v):
                     parent[max(ru, rv)] = min(ru, rv)
                     out_i.append(np.array([u]))
                     out_j.append(np.array([v]))
