@@ -134,13 +134,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_cover:
                     template = index.words[t]
                     done = -1
                     shifts = sorted(set(shifts))
-                    groups = np.split(shifts, np.flatnonzero(np.diff(shifts) > BAND) + 1)
+                    # a short template's band must not reach its next occurrence
+                    band = min(BAND, max(1, len(template) // 3))
+                    groups = np.split(shifts, np.flatnonzero(np.diff(shifts) > band) + 1)
                     for g in groups:
                         shift = int(np.median(g)) - int(first[d])
-                        base = max(0, shift - BAND)
-                        window = text[base : shift + len(template) + BAND + 1]
-                        n, s, e = align(template, window, shift - base)
-                        if n < least_cover * len(template) or s + base <= done:
+                        base = max(0, shift - band, done + 1)
+                        window = text[base : shift + len(template) + band + 1]
+                        n, s, e = align(template, window, shift - base, band)
+                        if n < least_cover * len(template):
                             continue
                         done = e + base
                         a, z = starts[first[d] + s + base], ends[first[d] + done]
