@@ -43,8 +43,11 @@ def similar_pairs(fragments: DataFrame, threshold: float) -> DataFrame:
     if threshold > 0:
         size = F.size("items")
         prefix = F.greatest(F.lit(1), (size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1).cast("int"))
-        keyed = sets.select("ord", "file_path", "start_line", "end_line", "token_count", size.alias("n"), F.explode(F.slice("items", F.lit(1), prefix)).alias("key"))
+        keyed = sets.select("ord", "file_path", "start_line", "end_line", "token_count", size.alias("n"), F.posexplode(F.slice("items", F.lit(1), prefix)).alias("at", "key"))
         least = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - F.lit(1e-9)
+        # where the first token shared stands bounds the overlap; every true pair passes there
+        rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+        least = least & (rest >= F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6))
     else:
         band = F.floor(F.log(F.col("token_count").cast("double")) / F.lit(math.log(MOST_SIZE_RATIO + 1e-6)))
         keyed = sets.select("ord", "file_path", "start_line", "end_line", "token_count", F.size("items").alias("n"), band.alias("key"))
