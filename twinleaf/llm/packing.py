@@ -14,7 +14,7 @@ shards. It ends when a level fits one shard, or a level saves nothing.
 
 Edge cases: null or empty texts give one piece of length 1 (the closing id 0).
 Documents over the limit are cut, and only these. Repeated rows are packed one
-by one; equal (doc_id, piece) rows stay separate. An empty table gives an empty result.
+by one; equal (doc_id, piece) rows stay separate, and a null doc_id stays null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,22 +85,24 @@ def pack_shard(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarra
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece, in place: no shuffle, and ids never leave the task."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).raw
         end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for low in range(0, len(texts), 128):
-                for doc_id, raw in zip(batch["doc_id"][low : low + 128], encode(texts[low : low + 128])):
+            for low in range(0, batch.num_rows, 128):
+                for row, raw in enumerate(encode(batch.column(1).slice(low, 128).to_pylist()), low):
                     raw += end
                     for piece, at in enumerate(range(0, len(raw), step)):
                         part = raw[at : at + step]
                         crc = zlib.crc32(part)
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, crc, crc ^ (piece * 0x9E3779B1 & 0xFFFFFFFF)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+                        rows.append((row, piece, at // 4, len(part) // 4, crc, crc ^ (piece * 0x9E3779B1 & 0xFFFFFFFF)))
+            if rows:
+                row, piece, *rest = zip(*rows)
+                # ids pass as they are: null ones would make numbers with a fraction of large ones in pandas
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in rest)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
@@ -110,13 +112,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     own = F.col("doc_id"), F.col("piece"), F.col("salt")
     packed = []
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        bins, offsets, filled = pack_shard(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = (np.int64(key[0]) << 24) + bins
-        pdf["offset"] = offsets
-        pdf["gap"] = capacity - filled[bins]
-        return pdf.drop(columns="shard")
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets, filled = pack_shard(rows["length"].to_numpy(), capacity)
+        made = {"sequence_id": (key[0].as_py() << 24) + bins, "offset": offsets, "gap": capacity - filled[bins]}
+        return pa.table([*rows.columns, *made.values()], names=[*rows.column_names, *made])
 
     open_pieces = pieces.where(~full)
     level, left = 0, pieces.where(~full).count()
@@ -124,7 +124,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         shards = -(-left // shard)
         # a level's shards have numbers of their own, so that sequences stay apart
         dealt = open_pieces.withColumn("shard", F.pmod(F.xxhash64(*own, F.lit(level)), F.lit(shards)) + F.lit(level << 34))
-        done = materialize(dealt.groupBy("shard").applyInPandas(one, f"{PIECES}, sequence_id long, offset long, gap long"), f"pack{level}")
+        done = materialize(dealt.groupBy("shard").applyInArrow(one, f"{PIECES}, sequence_id long, offset long, gap long"), f"pack{level}")
         if shards == 1:
             packed.append(done)
             break
