@@ -19,8 +19,6 @@ PATH_DIM, WORD_DIM, EXTRA = 192, 48, 8
 DIM = PATH_DIM + WORD_DIM + EXTRA
 HIDDEN = 24
 PIECES = re.compile(r"[a-z]+|[^\W\d_a-z]+")
-#: Words of a block that are hashed at most for its vector; its text is kept whole.
-VECTOR_WORDS = 400
 
 
 def _slot(word: str, dim: int) -> int:
@@ -52,7 +50,7 @@ class Featurizer:
     def block(self, b: Block, at: float, before: float) -> np.ndarray:
         v = np.zeros(DIM, dtype=np.float32)
         v[:PATH_DIM] = self.path(b.path)
-        words = b.text.lower().split(" ", VECTOR_WORDS)[:VECTOR_WORDS]
+        words = b.text.lower().split(" ")
         if len(self.words) > 300_000:
             self.words.clear()
         get = self.words.get
@@ -63,7 +61,7 @@ class Featurizer:
             v[PATH_DIM + k] += 1
         v[PATH_DIM : PATH_DIM + WORD_DIM] /= np.sqrt(len(words)) * 4
         n = len(b.text)
-        v[-8:] = (min(np.log1p(n) / 8, 2), min(1.0, b.link_chars / n), float(b.text[-1] in ".!?…:;\"»"), at, before, len(b.path) / 12, float("©" in b.text), sum(c in ".,;" for c in b.text[:2000]) / min(n, 2000))
+        v[-8:] = (min(np.log1p(n) / 8, 2), min(1.0, b.link_chars / n), float(b.text[-1] in ".!?…:;\"»"), at, before, len(b.path) / 12, float("©" in b.text), sum(map(b.text.count, ".,;")) / n)
         return v
 
     def page(self, blocks: list[Block]) -> np.ndarray:

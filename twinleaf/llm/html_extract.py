@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ from .block_labeller import Featurizer, Labeller
 from .html_blocks import Block, blocks
 from .tables import table
 
-TRAIN_PAGES = 200
+#: Bounds of the sample of real pages: how many, and the characters and blocks of one that is taken whole.
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_BLOCKS = 200, 200_000, 1000
 MADE_PAGES = 500
 #: Blocks that a worker labels at once, about: bounds the padded batch.
 BATCH_BLOCKS = 4096
@@ -102,10 +103,11 @@ def made_pages(n: int, words: list[str], seed: int = 11) -> list[tuple[list[Bloc
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, made: int = MADE_PAGES) -> Labeller:
-    """pages: (page_id, html). At most train_pages of them are read to the driver, at 200,000 characters each."""
-    ids = pages.where("html is not null").select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(train_pages).select("page_id").distinct()
-    sample = pages.join(F.broadcast(ids), "page_id", "left_semi").select("page_id", F.substring("html", 1, 200_000).alias("html")).orderBy("page_id").limit(train_pages).collect()
-    real = [b for b in (blocks(r.html)[:200] for r in sample) if b]
+    """pages: (page_id, html). At most train_pages of them are read to the driver, whole, of TRAIN_CHARS characters at most each."""
+    fit = F.length("html").between(1, TRAIN_CHARS)
+    ids = pages.where(fit).select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(train_pages).select("page_id").distinct()
+    sample = pages.where(fit).join(F.broadcast(ids), "page_id", "left_semi").select("page_id", "html").orderBy("page_id").limit(train_pages).collect()
+    real = [b for b in (blocks(r.html) for r in sample) if 0 < len(b) <= TRAIN_BLOCKS]
     words = sorted({w for page in real for b in page for w in b.text.lower().split(" ")[:30]})[:5000] or ["word", "text", "line"]
     examples = [(p, by_elements(p)) for p in real] + made_pages(made, words)
     look = Featurizer()
@@ -116,11 +118,11 @@ def main_text(pages: DataFrame, model: Labeller, html: str = "html", keep: float
     """pages (page_id, url, html) as (page_id, url, text, n_chars)."""
     shared = pages.sparkSession.sparkContext.broadcast(model.weights)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, look = Labeller(shared.value), Featurizer()
         for b in batches:
-            texts = [""] * len(b)
-            parsed = [(k, p) for k, p in enumerate(map(blocks, (x if isinstance(x, str) else None for x in b[html]))) if p]
+            texts = [""] * b.num_rows
+            parsed = [(k, p) for k, p in enumerate(map(blocks, b.column(2).to_pylist())) if p]
             parsed.sort(key=lambda x: len(x[1]))
             lot: list[tuple[int, list[Block]]] = []
 
@@ -134,9 +136,9 @@ def main_text(pages: DataFrame, model: Labeller, html: str = "html", keep: float
                     label()
                 lot.append((k, page))
             label()
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": pd.Series([len(t) for t in texts], index=b.index, dtype="int64")})
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html).mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html).mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
