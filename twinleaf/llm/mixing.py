@@ -177,7 +177,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     keyed = docs.withColumn(size, n_words(F.col("text")))
     joined = keyed.alias("d").join(
         per_row.alias("c"),
-        (F.col("d.doc_id") == F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col(f"d.{size}") == F.col("c.size")),
+        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col(f"d.{size}") == F.col("c.size")),
     )
     # which of several equal keys takes which count makes no difference to the words taken: the counts are summed and shared out in turn
     total = F.aggregate(F.map_values("c.by_dup"), F.lit(0), lambda a, x: a + x)
