@@ -123,7 +123,7 @@ class BackoffModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_in(text) if isinstance(text, str) else []
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):  # fractions and the like are no letters
             return UNKNOWN, 0.0
         s = self.scores(words) / math.sqrt(len(words))
         e = np.exp(s - s.max())
