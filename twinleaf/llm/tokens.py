@@ -17,7 +17,9 @@ import unicodedata
 import numpy as np
 
 #: Pieces in each of a worker's two generations: what a full generation saw and the one before it are kept.
-KEPT = 150_000
+KEPT = 250_000
+#: Pieces encoded in one call of the library.
+LOT = 512
 #: The characters up to U+024F of a general category: what \\p{L} and \\p{N} mean for Latin texts.
 _LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
 #: How the tokenizer cuts a text (fixed by its file), for such texts.
@@ -35,6 +37,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -42,14 +47,18 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """ids of different pieces, parted by spaces, in one call."""
-        e = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        ids, words = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-        cut = np.searchsorted(words, np.arange(len(pieces) + 1))
-        if len(words) and words[-1] != len(pieces) - 1:
-            return {p: self.whole(p).tobytes() for p in pieces}
-        raw, at = ids.tobytes(), (cut * 4).tolist()
-        return {p: raw[a:b] for p, a, b in zip(pieces, at, at[1:])}
+        """ids of different pieces, parted by spaces, LOT at a call; a piece ends where an id ends a word."""
+        out: dict[str, bytes] = {}
+        for low in range(0, len(pieces), LOT):
+            lot = pieces[low : low + LOT]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(lot) or ends[-1] != len(ids):
+                out.update((p, self.whole(p).tobytes()) for p in lot)
+                continue
+            raw, at = ids.tobytes(), (ends * 4).tolist()
+            out.update((p, raw[x:y]) for p, x, y in zip(lot, [0, *at], at))
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
         """All ids of the text, as little-endian unsigned 32-bit numbers."""
@@ -57,34 +66,29 @@ class PieceEncoder:
 
     def raw(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; the pieces unknown so far are encoded in one call."""
-        get, older = self.known.get, self.older.get
         out: list[bytes] = [b""] * len(texts)
-        todo, new, again = [], {}, {}
+        cut: list[tuple[int, list[str]]] = []
         for k, text in enumerate(texts):
             if not text:
                 continue
             if OTHER.search(text) or SPECIAL.search(text):
                 out[k] = self.whole(text).tobytes()
-                continue
-            pieces = PIECE.findall(text.lower())
-            found = list(map(get, pieces))
-            if None in found:
-                for p, f in zip(pieces, found):
-                    if f is None:
-                        if (x := older(p)) is None:
-                            new[p] = None
-                        else:
-                            again[p] = x
-                todo.append((k, pieces, found))
             else:
-                out[k] = b"".join(found)
-        if todo:
-            made = (self._encode(list(new)) if new else {}) | again
-            for k, pieces, found in todo:
-                out[k] = b"".join([made[p] if f is None else f for p, f in zip(pieces, found)])
-            self.known.update((p, x) for p, x in made.items() if len(p) <= LONG)
-            if len(self.known) > KEPT:
-                self.known, self.older = {}, self.known
+                cut.append((k, PIECE.findall(text.lower())))
+        known, older = self.known, self.older
+        missing = set().union(*(pieces for _, pieces in cut)).difference(known)
+        new = [p for p in missing if p not in older]
+        known.update((p, older[p]) for p in missing.difference(new))
+        if new:
+            known.update(self._encode(new))
+        get = known.__getitem__
+        for k, pieces in cut:
+            out[k] = b"".join(map(get, pieces))
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+        if len(known) > KEPT:
+            self.known, self.older = {}, known
         return out
 
 
