@@ -37,7 +37,7 @@ SAMPLE_DOCS = 4000
 MOST_WORDS = 120_000
 LONGEST_GRAM = 4
 #: Words whose vectors a worker keeps at most.
-KEPT = 400_000
+KEPT = 100_000
 UNKNOWN = "und"
 #: Below this confidence the pipeline's stage rejects a document.
 LEAST_SCORE = 0.5
@@ -61,8 +61,10 @@ class BackoffModel:
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
     rows: dict[str, int] = field(default_factory=dict)
-    matrix: list[np.ndarray] = field(default_factory=list)
-    stacked: np.ndarray | None = None
+    table: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.table = np.zeros((0, len(self.langs)))
 
     @classmethod
     def fit(cls, counted: list[tuple[str, str, int]]) -> BackoffModel:
@@ -97,7 +99,6 @@ class BackoffModel:
     def scores(self, words: list[str]) -> np.ndarray:
         if len(self.rows) > KEPT:
             self.rows.clear()
-            self.matrix.clear()
         get = self.rows.get
         places = list(map(get, words))
         if None in places:
@@ -105,21 +106,12 @@ class BackoffModel:
                 if place is None:
                     place = get(word)
                     if place is None:
-                        place = self.rows[word] = len(self.matrix)
-                        self.matrix.append(self.vector(word))
+                        place = self.rows[word] = len(self.rows)
+                        if place >= len(self.table):
+                            self.table = np.concatenate([self.table, np.zeros((len(self.table) + 1024, len(self.langs)))])
+                        self.table[place] = self.vector(word)
                     places[k] = place
-        if self.stacked is None or len(self.stacked) < len(self.matrix) or len(self.stacked) > 2 * len(self.matrix) + 4096:
-            room = np.zeros((2 * len(self.matrix) + 1024, len(self.langs)))
-            self.filled = 0
-            self.stacked = room
-        if self.filled > len(self.matrix):
-            self.filled = 0
-        if self.filled < len(self.matrix):
-            self.stacked[self.filled : len(self.matrix)] = self.matrix[self.filled :]
-            self.filled = len(self.matrix)
-        return self.stacked[np.array(places, dtype=np.intp)].sum(axis=0)
-
-    filled: int = 0
+        return self.table[np.array(places, dtype=np.intp)].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_in(text) if isinstance(text, str) else []
