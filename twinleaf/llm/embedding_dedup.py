@@ -8,12 +8,16 @@
 3. NN-descent: around each vector, its neighbours and those that have it as a neighbour are
    compared with each other; each keeps its nearest. Rounds go on while lists change
    much, ROUNDS at most.
-4. Edges of at least the threshold give components. A list that is full of such edges is saturated; it is
-   enlarged to its whole component: in each component of more than two
+4. Edges of at least the threshold give components. A list that is full of such edges is saturated: it may
+   lack links to other full lists. Saturated vectors are searched exactly for links to those of other
+   components: caps (centre and largest angle) of CAP vectors of a component are compared with
+   all other caps, and where they don't prove that nothing links, the vectors are.
+   So components don't depend on NEIGHBOURS.
+5. In each component of more than two
    vectors all links are counted exactly, in blocks of BLOCK vectors against
-   blocks, so that no pair is ever emitted. Two blocks whose caps (centre and largest angle) prove all or
+   blocks, so that no pair is ever emitted. Two blocks whose caps prove all or
    none of the pairs linked are not multiplied.
-5. The audit takes AUDIT random vectors, finds their links among all vectors, and measures
+6. The audit takes AUDIT random vectors, finds their links among all vectors, and measures
    how many the components hold. Below the wanted recall, further hyperplanes
    and rounds follow, REPEATS times at most.
 
@@ -43,6 +47,8 @@ AUDIT = 200
 RECALL = 0.98
 BLOCK = 512
 BUCKET = 2000
+CAP = 256
+CAPS = 2048
 LIST = "node long, other long, cos double"
 
 
@@ -243,6 +249,114 @@ def audit(nodes: DataFrame, labels: DataFrame, threshold: float, queries: int =
     return 1.0 if not row["all"] else row["held"] / row["all"]
 
 
+def _caps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Deals vectors of one component to blocks of at most CAP; the row of a block's least node has its cap."""
+    out = []
+    for part in by_length(pdf):
+        for _, own in part.groupby("component", sort=True):
+            own = own.sort_values("node").reset_index(drop=True)
+            x, ids = matrix(own["vec"]), own["node"].to_numpy()
+            for idx in leaves(x, np.random.default_rng(0), CAP):
+                idx = np.sort(idx)
+                c = x[idx].mean(axis=0)
+                c = c / max(np.linalg.norm(c), 1e-300)
+                head = np.arange(len(idx)) == 0
+                radius = float(np.arccos(np.clip((x[idx] @ c).min(), -1, 1)))
+                rows = own.loc[idx, ["node", "vec", "component"]].assign(block=ids[idx[0]], radius=np.where(head, radius, 0.0))
+                rows["centre"] = [c.astype("<f8").tobytes() if h else None for h in head]
+                out.append(rows)
+    return pd.concat(out)
+
+
+def _near_caps(threshold: float):
+    """Pairs of blocks of different components that their caps don't prove unlinked."""
+    theta = np.arccos(threshold)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({k: pd.Series(dtype=t) for k, t in (("a", "int64"), ("ca", "int64"), ("b", "int64"), ("cb", "int64"), ("between", "float64"))})]
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        for part in by_length(pdf.rename(columns={"centre": "vec"})):
+            p, q = part[part["chunk"] == i], part[part["chunk"] == j]
+            if not len(p) or not len(q):
+                continue
+            between = np.arccos(np.clip(matrix(p["vec"]) @ matrix(q["vec"]).T, -1, 1))
+            near = between - p["radius"].to_numpy()[:, None] - q["radius"].to_numpy() <= theta + 1e-6
+            near &= p["component"].to_numpy()[:, None] != q["component"].to_numpy()
+            if i == j:
+                near = np.triu(near, 1)
+            r, c = np.nonzero(near)
+            out.append(pd.DataFrame({"a": p["block"].to_numpy()[r], "ca": p["component"].to_numpy()[r], "b": q["block"].to_numpy()[c], "cb": q["component"].to_numpy()[c], "between": between[r, c]}))
+        return pd.concat(out)
+
+    return search
+
+
+def _any_link(threshold: float):
+    """(node, other): one link of each pair of blocks that has any."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (a, b), pair in pdf.groupby(["a", "b"], sort=False):
+            p, q = pair[pair["block"] == a], pair[pair["block"] == b]
+            sims = matrix(p["vec"]) @ matrix(q["vec"]).T
+            r, c = np.unravel_index(int(np.argmax(sims)), sims.shape)
+            if sims[r, c] >= threshold:
+                found.append((p["component"].iloc[r], q["component"].iloc[c]))
+        return pd.DataFrame(found, columns=["node", "other"], dtype="int64")
+
+    return search
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels after links (node, other) between components; a component without a row in labels is its node."""
+    roots = materialize(connected_components(found, "node", "other"), "emb-roots").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    alone = roots.join(labels, "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
+    return materialize(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionByName(alone), "emb-labels")
+
+
+def across(nodes: DataFrame, labels: DataFrame, asked: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """labels with all links joined that the nodes of asked have to asked nodes of other components: an exact search."""
+    members = nodes.join(asked.select("node"), "node", "left_semi").join(labels, "node", "left").select("node", "vec", F.coalesce("component", "node").alias("component"))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    dealt = members.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (16 * CAP))))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("component", "piece"), F.lit(parts * 4)))
+    blocks = materialize(dealt.select("node", "vec", "component", "part").groupBy("part").applyInPandas(_caps, "node long, vec binary, component long, block long, radius double, centre binary"), "emb-blocks")
+    caps = blocks.where("centre is not null").select("block", "component", "radius", "centre")
+    n = caps.count()
+    if n < 2:
+        return labels
+    chunks = -(-n // CAPS)
+    here = F.pmod(F.xxhash64("block"), F.lit(chunks))
+    spread = caps.withColumn("chunk", here).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    spread = spread.select("block", "component", "radius", "centre", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    near = materialize(spread.groupBy("i", "j").applyInPandas(_near_caps(threshold), "a long, ca long, b long, cb long, between double"), "emb-near")
+    pair = F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")
+    nearest = near.groupBy(*pair).agg(F.min(F.struct("between", "a", "b")).alias("m")).select("m.a", "m.b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("block")).join(blocks.select("block", "node", "vec", "component"), "block")
+        both = both.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(parts * 4)))
+        return materialize(both.groupBy("part").applyInPandas(_any_link(threshold), "node long, other long"), "emb-across")
+
+    if near.isEmpty():
+        release(blocks)
+        return labels
+    # the nearest blocks of two components first: most that link are joined by these, and need no more
+    now = merged(labels, linked(nearest))
+    of = now.select(F.col("node"), F.col("component").alias("c"))
+    rest = near.join(of.select(F.col("node").alias("a"), F.col("c").alias("na")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("c").alias("nb")), "b", "left")
+    rest = materialize(rest.where(F.coalesce("na", "a") != F.coalesce("nb", "b")).join(nearest, ["a", "b"], "left_anti").select("a", "b"), "emb-rest")
+    if not rest.isEmpty():
+        # components of the blocks are those of before: their links join what these have become
+        found = linked(rest)
+        to = lambda c: of.select(F.col("node").alias(c), F.col("c").alias(c + "_now"))
+        found = found.join(to("node"), "node", "left").join(to("other"), "other", "left").select(F.coalesce("node_now", "node").alias("node"), F.coalesce("other_now", "other").alias("other"))
+        now = merged(now, found)
+    for used in (blocks, near, rest):
+        release(used)
+    return now
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -268,9 +382,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             before = after
         edges = lists.where(F.col("cos") >= threshold).select("node", "other")
         labels = materialize(connected_components(edges, "node", "other"), "emb-labels")
+        saturated = edges.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= NEIGHBOURS)
+        labels = across(nodes, labels, saturated, threshold, parts)
         if audit(nodes, labels, threshold) >= RECALL:
             break
-    # saturated or not, every list is enlarged to its component, where all links are counted
+    # in each component all links are counted
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK)
     members = labels.join(sizes, "component").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("blocks", blocks)
