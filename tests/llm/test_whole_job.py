@@ -23,3 +23,16 @@ def test_tight_groups_that_fill_each_other_s_lists(spark):
     assert {(r.component_id, r.n_links) for i, r in got.items() if i < 80} == {(0, 79)}
     assert {(r.component_id, r.n_links) for i, r in got.items() if i >= 80} == {(80, 39)}
     assert sorted(i for i, r in got.items() if r.kept) == [0, 80]
+
+
+def test_lost_pairs_beside_a_large_group_count_in_the_audit(spark):
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.01
+    pairs = np.repeat(rng.normal(size=(30, 16)), 2, axis=0) + rng.normal(size=(60, 16)) * 0.01
+    rows = [(i, np.asarray(v, dtype="<f8").tobytes(), 1) for i, v in enumerate(np.concatenate([hot, pairs]))]
+    nodes = spark.createDataFrame(rows, "node long, vec binary, weight long")
+    whole = [(i, 0) for i in range(400)] + [(i, i - i % 2) for i in range(400, 460)]
+    assert embedding_dedup.audit(nodes, spark.createDataFrame(whole, "node long, component long"), 0.95) == 1.0
+    assert embedding_dedup.audit(nodes, spark.createDataFrame(whole[:400], "node long, component long"), 0.95) == 0.0
+    # the trees grow with the planes, and a hot code still has its pairs in one leaf
+    assert embedding_dedup.trees_for(2_000_000, 0.95) > embedding_dedup.trees_for(20_000, 0.95)

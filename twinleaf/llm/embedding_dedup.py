@@ -4,7 +4,7 @@
 2. A first neighbour graph comes from random hyperplanes: classes are dealt by
    the signs of a few projections, and a bucket is cut by further
    hyperplanes into leaves of at most LEAF vectors, in which each finds its
-   NEIGHBOURS nearest.
+   NEIGHBOURS nearest. The number of trees grows with the number of cuts.
 3. NN-descent: around each vector, its neighbours and those that have it as a neighbour are
    compared with each other; each keeps its nearest. Rounds go on while lists change
    much, ROUNDS at most.
@@ -17,9 +17,10 @@
    vectors all links are counted exactly, in blocks of BLOCK vectors against
    blocks, so that no pair is ever emitted. Two blocks whose caps prove all or
    none of the pairs linked are not multiplied.
-6. The audit takes AUDIT random vectors, finds their links among all vectors, and measures
-   how many the components hold. Below the wanted recall, further hyperplanes
-   and rounds follow, REPEATS times at most.
+6. The audit takes AUDIT random vectors of each of three sizes of component and four times as many of those without
+   one, finds their links among all vectors, and measures
+   how many the components hold, as a mean over vectors, apart by size. Below the wanted recall, twice as many hyperplanes
+   and further rounds follow; where REPEATS attempts aren't enough, all vectors are searched as saturated ones are.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing
 and are kept. Vectors of different lengths never link. Repeated ids are rows of their own.
@@ -44,7 +45,10 @@ TREES = 8
 ROUNDS = 3
 REPEATS = 3
 AUDIT = 200
+LARGE = 1000
 RECALL = 0.98
+SHARED = 0.01
+SLICES = 256
 BLOCK = 512
 BUCKET = 2000
 CAP = 256
@@ -191,6 +195,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, values).alias("v"), F.coalesce(fine, F.lit(False)).alias("ok")).mapInArrow(as_bytes, "vec_id long, vec binary")
 
 
+def trees_for(n: int, threshold: float) -> int:
+    """Trees after which a pair at the threshold has shared a leaf but for SHARED of the cases: more planes need more trees."""
+    cuts = np.log2(max(1, n / BUCKET)) + np.log2(BUCKET / LEAF) + 1
+    same = (1 - np.arccos(threshold) / np.pi) ** cuts
+    return max(TREES, int(np.ceil(np.log(SHARED) / np.log1p(-same))))
+
+
 def first_lists(nodes: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
     """Neighbour lists from random hyperplanes."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / BUCKET)))))
@@ -201,16 +212,18 @@ def first_lists(nodes: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
             for part in by_length(b):
                 x = matrix(part["vec"])
                 for t in range(trees):
-                    planes = np.random.default_rng([seed, t, x.shape[1]]).normal(size=(x.shape[1], bits))
-                    code = ((x @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), dtype=np.int64)
-                    # vectors of a hot direction all have one code: they are dealt over as many buckets as it takes
-                    out.append(part[["node", "vec"]].assign(bucket=t * (1 << 40) + code))
-            yield pd.concat(out) if out else pd.DataFrame({"node": pd.Series(dtype="int64"), "vec": pd.Series(dtype="object"), "bucket": pd.Series(dtype="int64")})
-
-    rows = nodes.select("node", "vec").mapInPandas(dealt, "node long, vec binary, bucket long")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    spread = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("c") / (2 * BUCKET)))
-    cut = rows.join(sizes, "bucket").withColumn("bucket", F.col("bucket") * 4096 + spread).select("node", "vec", "bucket")
+                    planes = np.random.default_rng([seed, t, x.shape[1]]).normal(size=(x.shape[1], bits + 1))
+                    code = ((x @ planes[:, :bits] > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), dtype=np.int64)
+                    out.append(part[["node", "vec"]].assign(bucket=t * (1 << 40) + code, along=x @ planes[:, bits]))
+            yield pd.concat(out) if out else pd.DataFrame({"node": pd.Series(dtype="int64"), "vec": pd.Series(dtype="object"), "bucket": pd.Series(dtype="int64"), "along": pd.Series(dtype="float64")})
+
+    rows = nodes.select("node", "vec").mapInPandas(dealt, "node long, vec binary, bucket long, along double")
+    # a hot code is cut into slices along one more direction, which keeps a pair beside a hot group together; a hash of the node would not
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.percentile_approx("along", [k / SLICES for k in range(1, SLICES)], 4 * SLICES).alias("cuts")).select("bucket", "c", F.when(F.col("c") > 2 * BUCKET, F.col("cuts")).alias("cuts"))
+    rank = F.coalesce(F.size(F.filter("cuts", lambda v: v < F.col("along"))), F.lit(0))
+    wanted = F.least(F.ceil(F.col("c") / (2 * BUCKET)), F.lit(SLICES))
+    slice_ = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.floor(rank * wanted / SLICES))
+    cut = rows.join(sizes, "bucket").withColumn("bucket", F.col("bucket") * 4096 + slice_).select("node", "vec", "bucket")
     return cut.groupBy("bucket").applyInPandas(_leaf_lists(NEIGHBOURS, seed), LIST)
 
 
@@ -227,8 +240,18 @@ def descend(nodes: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
 
 
 def audit(nodes: DataFrame, labels: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of a bounded sample of vectors, found against all vectors in blocks, that the components hold."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "vec").toPandas()
+    """The least recall of components over classes of vectors: those of small components or none, of larger and of large ones.
+
+    A sample of each of four sizes of component is compared with all vectors in blocks. A vector's recall is the share of
+    its links that its component holds; classes take the mean over their vectors with links, each sample standing for its size's vectors.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    size = F.coalesce("size", F.lit(1))
+    kinds = nodes.select("node", "vec").join(labels, "node", "left").join(sizes, "component", "left")
+    kinds = kinds.withColumn("kind", F.when(size == 1, 0).when(size <= NEIGHBOURS, 1).when(size <= LARGE, 2).otherwise(3))
+    totals = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    asked = [kinds.where(F.col("kind") == k).orderBy(F.xxhash64("node"), "node").limit(queries * (4 if k == 0 else 1)).select("node", "vec", "kind").toPandas() for k in totals]
+    asked = pd.concat(asked) if asked else pd.DataFrame()
     if not len(asked):
         return 1.0
 
@@ -245,8 +268,15 @@ def audit(nodes: DataFrame, labels: DataFrame, threshold: float, queries: int =
 
     links = nodes.select("node", "vec").mapInPandas(search, "q long, node long")
     l2 = labels.select(F.col("node").alias("q"), F.col("component").alias("cq"))
-    row = links.join(labels, "node", "left").join(l2, "q", "left").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("component") == F.col("cq"), 1)).alias("held")).first()
-    return 1.0 if not row["all"] else row["held"] / row["all"]
+    rows = links.join(labels, "node", "left").join(l2, "q", "left").groupBy("q").agg((F.count(F.when(F.col("component") == F.col("cq"), 1)) / F.count(F.lit(1))).alias("held")).collect()
+    kind = dict(zip(asked["node"], asked["kind"], strict=True))
+    share = {k: totals[k] / n for k, n in asked["kind"].value_counts().items()}
+    worst = 1.0
+    for group in ((0, 1), (2,), (3,)):
+        weights = [share[kind[r["q"]]] for r in rows if kind[r["q"]] in group]
+        if weights:
+            worst = min(worst, float(np.average([r["held"] for r in rows if kind[r["q"]] in group], weights=weights)))
+    return worst
 
 
 def _caps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -367,7 +397,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     lists = None
     for attempt in range(REPEATS):
-        start = first_lists(nodes, n, TREES, attempt)
+        start = first_lists(nodes, n, trees_for(n, threshold) << attempt, attempt)
         now = materialize(best(start if lists is None else lists.unionByName(start), NEIGHBOURS, parts), "emb-lists")
         release(lists)
         lists = now
@@ -386,6 +416,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         labels = across(nodes, labels, saturated, threshold, parts)
         if audit(nodes, labels, threshold) >= RECALL:
             break
+    else:
+        # no number of trees was enough: all vectors are searched exactly
+        labels = across(nodes, labels, nodes, threshold, parts)
     # in each component all links are counted
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK)
