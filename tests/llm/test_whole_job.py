@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import json
+
 import numpy as np
 
-from twinleaf.llm import embedding_dedup
+from twinleaf.llm import chat_format, embedding_dedup
 
 
 def table(spark, x):
@@ -36,3 +38,20 @@ def test_lost_pairs_beside_a_large_group_count_in_the_audit(spark):
     assert embedding_dedup.audit(nodes, spark.createDataFrame(whole[:400], "node long, component long"), 0.95) == 0.0
     # the trees grow with the planes, and a hot code still has its pairs in one leaf
     assert embedding_dedup.trees_for(2_000_000, 0.95) > embedding_dedup.trees_for(20_000, 0.95)
+
+
+def test_arguments_keep_their_json_types_and_turns_their_content(spark):
+    tools = [("t", k, k, False) for k in ("integer", "number", "boolean", "string", "array", "object")]
+    fine = {"integer": 5, "number": 1.5, "boolean": True, "string": "5", "array": [1, None], "object": {"b": {"z": 1, "a": 2}, "a": "é"}}
+    wrong = {"integer": "5", "number": "1.5", "boolean": "true", "string": 5, "array": "[]", "object": [1]}
+    calls = [{"id": "a", "name": "t", "arguments": fine}, {"id": "b", "name": "t", "arguments": wrong}, {"id": "c", "name": "t", "arguments": "text"}]
+    rows = [(1, k, "assistant", json.dumps({"content": f"say {k}", "tool_calls": [c]})) for k, c in enumerate(calls)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    schemas = chat_format.tool_schemas(spark, tools)
+    got = {r.turn: r for r in chat_format.format_chat(turns, schemas).collect()}
+    assert [got[k].valid for k in range(3)] == [True, False, False]
+    for k, c in enumerate(calls):
+        want = {"content": f"say {k}", "role": "assistant", "tool_calls": [c]}
+        assert got[k].message == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    problems = {r.call_id: r.problems for r in chat_format.validated(chat_format.tool_calls(turns), schemas).collect()}
+    assert problems == {"a": [], "b": sorted(f"type:{k}" for k in wrong), "c": ["type:arguments"]}

@@ -15,12 +15,13 @@ Arguments are validated against a schema per tool: a table (tool, parameter,
 type, required). An argument that the schema lacks, a required one that is
 missing, or a value of another JSON type is reported.
 
-Every message becomes canonical JSON: keys in code point order, no spaces.
+Every message becomes canonical JSON: keys in code point order (in UTF-16 order inside an
+argument's value), no spaces. Values of arguments keep their JSON types, and a turn with calls its content.
 One row per message, never one per conversation: a conversation of any length
 stays spread over tasks.
 
 Edge cases: a null text is an empty content, a null role is "user"; text that
-isn't such JSON is plain content. A result without a call, or a call without a
+isn't such JSON, or a turn of calls that repeats a key in an object, is plain content. A result without a call, or a call without a
 result, is kept and marked. Repeated identifiers in a conversation link to the
 first call by (turn, place). Repeated rows give repeated messages. Null conv_id or turn stay null and link
 with nothing. Empty tables give empty results.
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 
 from .tables import table
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 #: Tools known without a table of schemas: (tool, parameter, type, required).
 STANDARD_TOOLS = (
@@ -49,11 +49,17 @@ def looks_like_object(text: Column) -> Column:
 
 
 def is_of_type(value: Column, kind: Column) -> Column:
-    """Whether value, as JSON text of a scalar, fits a JSON schema type."""
+    """Whether value, a variant, is of a JSON schema type; a type of another name takes any value but a missing one."""
+    real = F.schema_of_variant(value)
+    whole = (real == "BIGINT") | real.rlike(r"^DECIMAL\([0-9]+,0\)$")
     return (
-        F.when(kind == "integer", value.rlike(r"^-?[0-9]+$"))
-        .when(kind == "number", value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"))
-        .when(kind == "boolean", value.isin("true", "false"))
+        F.when(kind == "integer", whole)
+        .when(kind == "number", whole | real.startswith("DECIMAL") | real.isin("DOUBLE", "FLOAT"))
+        .when(kind == "boolean", real == "BOOLEAN")
+        .when(kind == "string", real == "STRING")
+        .when(kind == "array", real.startswith("ARRAY<"))
+        .when(kind == "object", real.startswith("OBJECT<"))
+        .when(kind == "null", real == "VOID")
         .otherwise(value.isNotNull())
     )
 
@@ -62,11 +68,25 @@ def tool_schemas(spark: SparkSession, tools=STANDARD_TOOLS) -> DataFrame:
     return spark.createDataFrame(list(tools), "tool string, parameter string, type string, required boolean")
 
 
+def made_calls(role: Column, text: Column) -> Column:
+    """The JSON object of a turn that may make calls, as a variant; null for others."""
+    return F.when((role == "assistant") & looks_like_object(text) & text.contains("tool_calls"), F.try_parse_json(text))
+
+
 def tool_calls(turns: DataFrame) -> DataFrame:
-    """(conv_id, call_id, call_turn, place, tool, arguments), one row per call."""
-    parsed = turns.where((F.col("role") == "assistant") & looks_like_object(F.col("text")) & F.col("text").contains("tool_calls"))
-    return parsed.select("conv_id", F.col("turn").alias("call_turn"), F.posexplode(F.from_json("text", CALLS)["tool_calls"]).alias("place", "c")).select(
-        "conv_id", F.col("c.id").alias("call_id"), "call_turn", "place", F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments")
+    """(conv_id, call_id, call_turn, place, tool, arguments, given), one row per call; given is what stands for arguments, if no object."""
+    parsed = turns.withColumn("o", made_calls(F.col("role"), F.col("text"))).where("o is not null")
+    calls = parsed.select("conv_id", F.col("turn").alias("call_turn"), F.posexplode(F.try_variant_get("o", "$.tool_calls", "array<variant>")).alias("place", "c"))
+    args = F.try_variant_get("c", "$.arguments", "map<string,variant>")
+    given = F.try_variant_get("c", "$.arguments", "variant")
+    return calls.select(
+        "conv_id",
+        F.try_variant_get("c", "$.id", "string").alias("call_id"),
+        "call_turn",
+        "place",
+        F.try_variant_get("c", "$.name", "string").alias("tool"),
+        args.alias("arguments"),
+        F.when(args.isNull() & (F.schema_of_variant(given) != "VOID"), F.to_json(given)).alias("given"),
     )
 
 
@@ -77,19 +97,25 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("required"), F.col("parameter"))).alias("needs"),
     )
     joined = calls.join(known, "tool", "left")
-    args = F.coalesce("arguments", F.create_map().cast("map<string,string>"))
+    args = F.coalesce("arguments", F.from_json(F.lit("{}"), "map<string,variant>"))
     unknown = F.transform(F.filter(F.map_keys(args), lambda k: ~F.map_contains_key("types", k)), lambda k: F.concat(F.lit("unknown:"), k))
     missing = F.transform(F.filter("needs", lambda k: ~F.map_contains_key(args, k)), lambda k: F.concat(F.lit("missing:"), k))
     wrong = F.transform(
         F.filter(F.map_entries(args), lambda e: F.map_contains_key("types", e["key"]) & ~F.coalesce(is_of_type(e["value"], F.element_at("types", e["key"])), F.lit(False))),
         lambda e: F.concat(F.lit("type:"), e["key"]),
     )
-    return joined.withColumn("problems", F.when(F.col("types").isNotNull(), F.sort_array(F.concat(unknown, missing, wrong)))).drop("types", "needs")
+    return joined.withColumn("problems", F.when(F.col("types").isNotNull(), F.sort_array(F.concat(unknown, missing, wrong, F.when(F.col("given").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("type:arguments"))))))).drop("types", "needs")
+
+
+def quoted(c: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
 
 
-def canonical_arguments(args: Column) -> Column:
-    """JSON of a string map with its keys in code point order."""
-    return F.coalesce(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(args)))), F.lit("{}"))
+def canonical_arguments(args: Column, given: Column) -> Column:
+    """JSON of the arguments with their types and with keys in order at every depth: objects in a variant hold theirs sorted."""
+    pairs = F.transform(F.sort_array(F.map_keys(args)), lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.to_json(F.element_at(args, k)), F.lit("null"))))
+    return F.coalesce(given, F.concat(F.lit("{"), F.concat_ws(",", pairs), F.lit("}")))
 
 
 def format_chat(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
@@ -110,14 +136,17 @@ def format_chat(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame
         calls.join(answered, ["conv_id", "call_id"], "left")
         .groupBy("conv_id", "call_turn")
         .agg(
-            F.sort_array(F.collect_list(F.struct("place", "call_id", "tool", canonical_arguments(F.col("arguments")).alias("arguments")))).alias("calls"),
+            F.sort_array(F.collect_list(F.struct("place", "call_id", "tool", canonical_arguments(F.col("arguments"), F.col("given")).alias("arguments")))).alias("calls"),
             F.min(F.coalesce("has_result", F.lit(False))).alias("all_answered"),
             F.min(F.size("problems") == 0).alias("all_valid"),
         )
         .withColumnRenamed("call_turn", "turn")
     )
     linked = rows.withColumn("call_id", F.col("result.tool_call_id")).join(by_turn, ["conv_id", "turn"], "left").join(first, ["conv_id", "call_id"], "left")
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    said = made_calls(F.col("role"), F.col("text"))
+    content = F.try_variant_get(said, "$.content", "variant")
+    # what a turn says beside its calls, and the whole text of a repeated turn without calls
+    beside = F.when(F.try_variant_get(said, "$.tool_calls", "array<variant>").isNull(), quoted(F.col("text"))).otherwise(F.when(F.schema_of_variant(content) != "VOID", F.to_json(content)).otherwise(F.lit('""')))
     text_call = F.concat_ws(
         ",",
         F.transform(
@@ -126,7 +155,7 @@ def format_chat(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame
         ),
     )
     message = (
-        F.when(F.col("calls").isNotNull(), F.concat(F.lit('{"content":"","role":'), quoted(F.col("role")), F.lit(',"tool_calls":['), text_call, F.lit("]}")))
+        F.when(F.col("calls").isNotNull(), F.concat(F.lit('{"content":'), beside, F.lit(',"role":'), quoted(F.col("role")), F.lit(',"tool_calls":['), text_call, F.lit("]}")))
         .when(F.col("call_id").isNotNull(), F.to_json(F.struct(F.coalesce("result.content", F.lit("")).alias("content"), "role", F.col("call_id").alias("tool_call_id"))))
         .otherwise(F.to_json(F.struct(F.col("text").alias("content"), "role")))
     )
