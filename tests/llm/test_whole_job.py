@@ -4,7 +4,7 @@ import json
 
 import numpy as np
 
-from twinleaf.llm import chat_format, embedding_dedup
+from twinleaf.llm import chat_format, embedding_dedup, license_scan
 
 
 def table(spark, x):
@@ -55,3 +55,12 @@ def test_arguments_keep_their_json_types_and_turns_their_content(spark):
         assert got[k].message == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     problems = {r.call_id: r.problems for r in chat_format.validated(chat_format.tool_calls(turns), schemas).collect()}
     assert problems == {"a": [], "b": sorted(f"type:{k}" for k in wrong), "c": ["type:arguments"]}
+
+
+def test_bsd_texts_are_told_apart_and_parts_are_no_whole_licence(spark):
+    two, three, mit = (license_scan.TEMPLATES[k] for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT"))
+    half = three[: three.index("3. Neither")]
+    rows = [(1, two), (2, three), (3, half), (4, mit), (5, mit[: mit.index(" IN NO EVENT")])]
+    got = {(r.doc_id, r.license): r.coverage for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, v in got.items() if v == 1} == {(1, "BSD-2-Clause"), (2, "BSD-3-Clause"), (4, "MIT")}
+    assert not any(doc == 3 for doc, _ in got)
