@@ -64,3 +64,12 @@ def test_bsd_texts_are_told_apart_and_parts_are_no_whole_licence(spark):
     got = {(r.doc_id, r.license): r.coverage for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k for k, v in got.items() if v == 1} == {(1, "BSD-2-Clause"), (2, "BSD-3-Clause"), (4, "MIT")}
     assert not any(doc == 3 for doc, _ in got)
+
+
+def test_licences_with_words_put_in_or_left_out(spark):
+    words = license_scan.TEMPLATES["MIT"].split(" ")
+    extra = [f"w{k}" for k in range(20)]
+    rows = [(1, " ".join(words[:80] + extra + words[80:])), (2, " ".join(words[:70] + words[82:]))]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {r.license for r in got.values()} == {"MIT"} and got[1].coverage == 1 and 0.9 < got[2].coverage < 1
+    assert (got[1].start_char, got[1].end_char) == (0, len(rows[0][1]) - 1)

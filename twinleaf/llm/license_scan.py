@@ -4,7 +4,7 @@ Schleimer, Wilkerson and Aiken, "Winnowing" (2003): of each WINDOW
 consecutive hashes of GRAM words the smallest is kept, for templates and texts alike, so that
 every shared run of WINDOW + GRAM - 1 words shares a kept hash. An inverted
 index of the templates' hashes (bounded by the templates; broadcast with the
-task) gives candidate places. There a banded alignment of the words finds the
+task) gives candidate places, which are chained across insertions and deletions. There a banded alignment of the words finds the
 longest common subsequence within BAND words of the diagonal, and reports the
 share of the template that it covers and the span in the text.
 
@@ -32,6 +32,8 @@ LEAST_COVER = 0.8
 _PARTS = np.ones(256, dtype=bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _PARTS[_lo:_hi] = False
+#: Licences whose texts hold one another's.
+RIVALS = ("BSD-2-Clause", "BSD-3-Clause")
 RESULT = "doc_id long, license string, matched_words long, template_words long, coverage double, start_char long, end_char long"
 
 
@@ -107,6 +109,45 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return int(score[best]), int(start[best]), int(last[best])
 
 
+def chains(p: np.ndarray, q: np.ndarray, size: int, band: int) -> list[np.ndarray]:
+    """Hits (text word p, template word q) as chains that rise in both, best first, none within the span of another.
+
+    The shift p - q may change by the template's size from hit to hit, in short templates only by the band.
+    """
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    reach = size if size > 3 * BAND else band
+    score, back = np.ones(len(p)), np.full(len(p), -1)
+    low = np.searchsorted(p, p - size - reach)
+    for i in range(1, len(p)):
+        j = np.arange(low[i], i)
+        jump = np.abs((p[i] - q[i]) - (p[j] - q[j]))
+        ok = (p[j] < p[i]) & (q[j] < q[i]) & (jump <= reach)
+        if ok.any():
+            gain = np.where(ok, score[j] - 0.001 * jump, -np.inf)
+            k = int(np.argmax(gain))
+            if gain[k] > 0:
+                score[i], back[i] = 1 + gain[k], j[k]
+    used = np.zeros(len(p), dtype=bool)
+    out = []
+    for i in np.argsort(-score, kind="stable"):
+        chain = []
+        while i >= 0 and not used[i]:
+            chain.append(i)
+            i = back[i]
+        if chain:
+            used[np.searchsorted(p, p[chain[-1]]) : np.searchsorted(p, p[chain[0]], side="right")] = True
+            out.append(order[chain[::-1]])
+    return out
+
+
+def without_rivals(rows: list[tuple]) -> list[tuple]:
+    """Rows of one text, of RIVALS over the same words only the one that fits best: matched words against those of template and span."""
+    fit = lambda r: 2 * r[2] / (r[3] + r[7])
+    out = [r for r in rows if not any(r[1] in RIVALS and o[1] in RIVALS and o[1] != r[1] and o[5] < r[6] and r[5] < o[6] and fit(o) > fit(r) for o in rows)]
+    return [r[:7] for r in out]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_cover: float = LEAST_COVER) -> DataFrame:
     """docs (doc_id, text) as RESULT rows, one per occurrence of a template."""
     templates = TEMPLATES if templates is None else templates
@@ -123,25 +164,29 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_cover:
                 if not len(h) or not len(index.hashes):
                     continue
                 lo, hi = np.searchsorted(index.hashes, h, side="left"), np.searchsorted(index.hashes, h, side="right")
-                hits: dict[tuple[int, int], list[int]] = {}
+                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
                 for k in np.flatnonzero(hi > lo):
                     d = int(doc[at[k]])
                     for e in range(lo[k], hi[k]):
-                        hits.setdefault((d, int(index.template[e])), []).append(int(at[k]) - int(index.place[e]))
+                        hits.setdefault((d, int(index.template[e])), []).append((int(at[k]), int(index.place[e])))
                 first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                for (d, t), shifts in hits.items():
+                own: dict[int, list[tuple]] = {}
+                for (d, t), pairs in hits.items():
                     text = words[first[d] : first[d + 1]]
                     template = index.words[t]
                     done = -1
-                    shifts = sorted(set(shifts))
                     # a short template's band must not reach its next occurrence
                     band = min(BAND, max(1, len(template) // 3))
-                    groups = np.split(shifts, np.flatnonzero(np.diff(shifts) > band) + 1)
-                    for g in groups:
-                        shift = int(np.median(g)) - int(first[d])
-                        base = max(0, shift - band, done + 1)
-                        window = text[base : shift + len(template) + band + 1]
-                        n, s, e = align(template, window, shift - base, band)
+                    p, q = np.array(pairs).T
+                    p = p - int(first[d])
+                    for chain in sorted(chains(p, q, len(template), band), key=lambda c: p[c[0]]):
+                        shifts = p[chain] - q[chain]
+                        least, most = int(shifts.min()), int(shifts.max())
+                        # one shift is the median over hits; more are all within the band
+                        shift, wide = (int(np.median(shifts)), band) if most - least <= band else ((least + most) // 2, (most - least + 1) // 2 + band)
+                        base = max(0, shift - wide, done + 1)
+                        window = text[base : shift + len(template) + wide + 1]
+                        n, s, e = align(template, window, shift - base, wide)
                         if n < least_cover * len(template):
                             continue
                         done = e + base
@@ -149,7 +194,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_cover:
                         begin = int(offsets[d])
                         before = len(data[begin:a].tobytes().decode("utf-8", "replace"))
                         inside = len(data[a:z].tobytes().decode("utf-8", "replace"))
-                        rows.append((part.column(0)[d].as_py(), index.names[t], n, len(template), n / len(template), before, before + inside))
+                        own.setdefault(d, []).append((part.column(0)[d].as_py(), index.names[t], n, len(template), n / len(template), before, before + inside, e - s + 1))
+                for found_in in own.values():
+                    rows += without_rivals(found_in)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(7)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, RESULT)
