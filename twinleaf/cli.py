@@ -10,13 +10,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .operators.basis import is_basis
+from .config import Config, anchor_of, bootstrap, conf_dir, find_ignore, load_ignore, set_up_logging
+from .operators.basis import with_basis
 from .operators.storage import materialize
 from .plans.detect import detect
-from .plans.report import basis_summary, console, report_groups, summary, write_reports
+from .plans.report import basis_summary, console, report_members, summary, write_reports
 from .plans.store import SessionStore
 from .sources.extract import fragments_of
-from .sources.scan import IgnoreRules, scan, target_list
+from .sources.scan import scan, target_list
 
 
 def parse_types(value: str) -> set[int]:
@@ -54,7 +55,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=("json", "html", "both"), default="both")
     p.add_argument("--min-tokens", type=positive, default=10, help="least number of lines of a fragment")
     p.add_argument("--exclude", action="append", default=[], help="shell pattern of paths to leave out")
-    p.add_argument("--ignore-file", help="file of gitignore rules")
+    p.add_argument("--ignore-file", help="file of gitignore rules, instead of that of the configuration folder")
+    p.add_argument("--conf-dir", help="configuration folder")
     p.add_argument("--target-list", action="store_true")
     p.add_argument("--basis", help="file that lists the reference set")
     p.add_argument("--code-blocks-only", action="store_true")
@@ -84,39 +86,45 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     absolute = [os.path.realpath(b) for b in basis or () if os.path.isabs(b)]
     roots += [b for b in absolute if b not in roots]
     spark = spark or SparkSession.builder.appName("twinleaf").getOrCreate()
-    ignore = None
-    if args.ignore_file:
-        with open(args.ignore_file, encoding="utf-8") as f:
-            anchor = os.path.commonpath(roots)
-            ignore = IgnoreRules(f.readlines(), os.path.dirname(anchor) if os.path.isfile(anchor) else anchor)
-    store = SessionStore(spark, args.db_dir)
-    session_id = store.create(roots, {"types": sorted(args.types), "threshold": args.threshold})
-    try:
-        files = scan(spark, roots, args.exclude, ignore)
-        n_files = files.count()
-        if not n_files:
-            print("No files of a known language found.")
-            return 0
-        every = materialize(fragments_of(files, args.min_tokens, args.code_blocks_only), "extracted")
-        for row in every.where("error is not null").select("file_path", "error").toLocalIterator():
-            print(f"skipped {row.file_path}: {row.error}", file=sys.stderr)
-        store.save_fragments(session_id, every.where("error is null").drop("error"))
-        fragments = store.fragments(session_id)
-        store.save_groups(session_id, detect(fragments, args.types, args.threshold))
-        found = store.detection(session_id)
-        test = None
-        if basis is not None:
-            test = is_basis(F.col("file_path"), [b for b in absolute if os.path.isfile(b)], [b for b in absolute if os.path.isdir(b)], [b for b in basis if not os.path.isabs(b)])
-            if not fragments.where(test).head(1):
-                print("warning: no scanned file is in the basis", file=sys.stderr)
-        groups = materialize(report_groups(found, fragments, test), "report")
-        totals = summary(found, fragments, n_files)
-        for path in write_reports(args.format, os.path.join(args.output_dir, args.output), groups, totals, session_id, roots, basis):
-            print(path)
-        print(console(totals, basis_summary(groups) if basis else None))
+    folder = bootstrap(args.conf_dir or conf_dir())
+    log = set_up_logging(folder)
+    anchor = anchor_of(roots)
+    ignore = load_ignore(args.ignore_file, anchor) if args.ignore_file else find_ignore(Config(folder), anchor)
+    with SessionStore(spark, args.db_dir) as store:
+        session_id = store.create(roots, {"types": sorted(args.types), "threshold": args.threshold})
+        try:
+            return run(args, spark, store, session_id, roots, basis, absolute, ignore, log)
+        finally:
+            store.delete(session_id)
+
+
+def run(args, spark, store, session_id, roots, basis, absolute, ignore, log) -> int:
+    """Scans, extracts, detects and reports within one session."""
+    files = scan(spark, roots, args.exclude, ignore)
+    n_files = files.count()
+    if not n_files:
+        log.info("no files of a known language in %s", roots)
+        print("No files of a known language found.")
         return 0
-    finally:
-        store.delete(session_id)
+    every = materialize(fragments_of(files, args.min_tokens, args.code_blocks_only), "extracted")
+    for row in every.where("error is not null").select("file_path", "error").toLocalIterator():
+        log.warning("skipped %s: %s", row.file_path, row.error)
+    store.save_fragments(session_id, every.where("error is null").drop("error"))
+    fragments = store.fragments(session_id)
+    store.save_groups(session_id, detect(fragments, args.types, args.threshold))
+    found = store.detection(session_id)
+    test = None
+    if basis is not None:
+        marked = with_basis(fragments, [b for b in absolute if os.path.isfile(b)], [b for b in absolute if os.path.isdir(b)], [b for b in basis if not os.path.isabs(b)])
+        fragments, test = materialize(marked.withColumnRenamed("is_basis", "in_basis"), "marked"), F.col("in_basis")
+        if not fragments.where(test).head(1):
+            log.warning("no scanned file is in the basis")
+    groups = materialize(report_members(found, fragments, test), "report")
+    totals = summary(found, fragments, n_files)
+    for path in write_reports(args.format, os.path.join(args.output_dir, args.output), groups, totals, session_id, roots, basis):
+        print(path)
+    print(console(totals, basis_summary(groups) if basis else None))
+    return 0
 
 
 if __name__ == "__main__":

@@ -44,16 +44,13 @@ KEYWORDS = {
     ),
 }
 
-#: Grammar node kinds that stand for names and literals: information for users, normalisation reads the tokens alone.
-_PLAIN = ("identifier type_identifier", "string integer float true false none")
-_SCRIPT = "string number true false null template_string"
-_JVM = "string_literal decimal_integer_literal decimal_floating_point_literal true false null_literal"
+#: Grammar node kinds that stand for names and for literals (fixed values): information for users, normalisation reads the tokens alone.
 PROFILES = {
-    "Python": _PLAIN,
-    "JavaScript": ("identifier property_identifier shorthand_property_identifier", _SCRIPT),
-    "TypeScript": ("identifier property_identifier type_identifier shorthand_property_identifier", _SCRIPT),
-    "Java": ("identifier type_identifier", _JVM),
-    "Gosu": ("identifier type_identifier", _JVM),
+    "Python": ("identifier type_identifier", "string integer float true false none"),
+    "JavaScript": ("identifier property_identifier shorthand_property_identifier", "string number true false null template_string"),
+    "TypeScript": ("identifier property_identifier type_identifier shorthand_property_identifier", "string number true false null template_string"),
+    "Java": ("identifier type_identifier", "string_literal decimal_integer_literal decimal_floating_point_literal true false null_literal"),
+    "Gosu": ("identifier type_identifier", "string_literal decimal_integer_literal decimal_floating_point_literal true false null_literal"),
     "Go": ("identifier type_identifier field_identifier", "interpreted_string_literal raw_string_literal int_literal float_literal true false nil"),
 }
 

@@ -2,13 +2,16 @@
 
 Tokens, hashes and counts are JVM expressions. The numbering of identifiers
 needs each one's first place among those before it: as windows that is three
-shuffles of all tokens, in one pass over a row's array it is a dictionary.
-normalise() is therefore an Arrow UDF over token arrays, without a shuffle.
+shuffles of all tokens. normalise() is therefore an Arrow function, without a shuffle: a batch's
+tokens are coded as one flat array, each different one is judged once, and
+the numbers come from sorted codes.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -58,9 +61,48 @@ def normalised(raw: list[str], language: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def normalise(raw: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([normalised(list(r), x) for r, x in zip(raw, language, strict=True)])
+def normalised_batch(raw: pa.Array, language: pa.Array) -> pa.Array:
+    """normalised() of a whole batch: raw (list of strings), language (string)."""
+    raw = pc.fill_null(raw, []) if raw.null_count else raw
+    sizes = np.diff(raw.offsets.to_numpy())
+    coded = raw.flatten().dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if not len(code):
+        return raw
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    comment = np.array([t.startswith("//") or (t.startswith("/*") and t.endswith("*/")) for t in words])
+    name = np.array([t[0].isalpha() or t[0] == "_" for t in words])
+    literal = np.array([t[0] in "\"'`0123456789" for t in words])
+    kinds = language.dictionary_encode()
+    kept_as_is = np.array([[t in KEYWORDS.get(x or "", ()) for t in words] for x in [*kinds.dictionary.to_pylist(), None]])
+    lang = kinds.indices.fill_null(len(kinds.dictionary)).to_numpy()[row]
+    keep = ~comment[code]
+    code, row, lang = code[keep], row[keep], lang[keep]
+    is_id = name[code] & ~kept_as_is[lang, code]
+    is_literal = literal[code] & ~is_id
+    n = len(words)
+    out = code.astype(np.int64)
+    # names: the order of first places within a row
+    key, first, back = np.unique(row[is_id].astype(np.int64) * n + code[is_id], return_index=True, return_inverse=True)
+    place = np.empty(len(key), dtype=np.int64)
+    place[np.argsort(first, kind="stable")] = np.arange(len(key))
+    owner = key // n if n else key
+    before = np.searchsorted(owner, owner, side="left")
+    ids = (place - before)[back]
+    # literals: their own order within a row
+    owner = row[is_literal]
+    literals = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+    most_ids, most_literals = (int(x.max()) + 1 if len(x) else 0 for x in (ids, literals))
+    out[is_id] = n + ids
+    out[is_literal] = n + most_ids + literals
+    labels = pa.array([*words, *(f"ID_{k}" for k in range(most_ids)), *(f"LIT_{k}" for k in range(most_literals))], pa.string())
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), labels.take(pa.array(out)))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def normalise(raw: pa.Array, language: pa.Array) -> pa.Array:
+    return normalised_batch(raw, language)
 
 
 def with_tokens(fragments: DataFrame, structural: bool = True) -> DataFrame:

@@ -1,19 +1,31 @@
 """Set-similarity self join of fragments (clone type 3), exact at any threshold.
 
 Above threshold 0 it is a prefix-filter join (Chaudhuri et al. 2006, Bayardo
-et al. 2007): two sets with Jaccard t share one of the n - ceil(t n) + 1 rarest
-tokens of each. Rarest first, so that frequent tokens make no pairs. At
+et al. 2007) between classes of equal token sets: two sets with Jaccard t share one of the
+n - ceil(t n) + 1 first tokens of each under any order. The order is rare first: tokens of a bounded list of frequent
+ones come last, the most frequent at the very end. Only prefix tokens move, each with the set's size, its own place and
+a small bitmap of the set; size, place and bitmap rule out nearly all pairs before any set is
+joined. The score of two classes holds for all their members, which come in last. At
 threshold 0 every pair of fitting size counts, and the sizes are banded.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize, release
+
 MOST_SIZE_RATIO = 1.3
+#: Tokens of the list of frequent ones at most.
+MOST_FREQUENT = 50_000
+#: 64-bit words of a set's bitmap.
+BITMAP = 8
 
 
 def nested(a: str, b: str) -> Column:
@@ -28,37 +40,102 @@ def comparable(a: str, b: str) -> Column:
     return (n > 0) & (m > 0) & (n / m <= F.lit(MOST_SIZE_RATIO)) & (m / n <= F.lit(MOST_SIZE_RATIO)) & ~F.coalesce(nested(a, b), F.lit(False))
 
 
-def encoded(fragments: DataFrame) -> DataFrame:
-    """(ord, file_path, start_line, end_line, token_count, items): distinct tokens as hashes, rarest first."""
-    each = fragments.select("ord", F.explode(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t)))).alias("t"))
-    df = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    items = each.join(df, "t").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).select("ord", F.transform("s", lambda x: x["t"]).alias("items"))
-    return fragments.select("ord", "file_path", "start_line", "end_line", "token_count").join(items, "ord")
+def items_of(tokens: Column) -> Column:
+    """The distinct tokens as sorted hashes."""
+    return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+
+
+def _prefixes(frequent: np.ndarray, threshold: float):
+    """(rep, least, most, n, at, key, bits) for each prefix token of the rows (rep, least, most, items); frequent: the list, most frequent last."""
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(3)
+            offsets = column.offsets.to_numpy()
+            flat = column.values.to_numpy()[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            n = np.diff(offsets)
+            rank = np.zeros(len(flat), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                rank = np.where(known[at] == flat, order[at] + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            sorted_ = np.lexsort((flat, rank, row))
+            place = np.arange(len(flat)) - np.repeat(offsets[:-1], n)
+            take = np.maximum(1, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)
+            chosen = place < np.repeat(take, n)
+            words = np.zeros((len(n), BITMAP), dtype=np.uint64)
+            spread = flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            np.bitwise_or.at(words, (row, (spread >> np.uint64(61)).astype(np.int64) % BITMAP), np.uint64(1) << ((spread >> np.uint64(40)) & np.uint64(63)))
+            owner = row[chosen]
+            columns = [b.column(k).take(pa.array(owner)) for k in range(3)]
+            bits = [pa.array(words[owner, k].view(np.int64)) for k in range(BITMAP)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(n[owner].astype(np.int32)), pa.array(place[chosen].astype(np.int32)), pa.array(flat[sorted_][chosen]), *bits], names=["rep", "least", "most", "n", "at", "key", *(f"b{k}" for k in range(BITMAP))]
+            )
+
+    return cut
+
+
+def _class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of classes (rep, least, most, items) with score >= threshold, a < b."""
+    items = classes.select(F.explode("items").alias("t"))
+    top = items.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").orderBy(F.desc("df"), "t").limit(MOST_FREQUENT).toPandas()
+    frequent = top["t"].to_numpy(dtype=np.int64)[::-1].copy()
+    schema = "rep long, least int, most int, n int, at int, key long, " + ", ".join(f"b{k} long" for k in range(BITMAP))
+    keyed = materialize(classes.select("rep", "least", "most", "items").mapInArrow(_prefixes(frequent, threshold), schema), "prefixes")
+    n, m = F.col("x.n"), F.col("y.n")
+    need = F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-6)
+    fits = (F.col("x.rep") < F.col("y.rep")) & (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9))
+    fits &= (F.col("x.least") <= F.lit(MOST_SIZE_RATIO) * F.col("y.most")) & (F.col("y.least") <= F.lit(MOST_SIZE_RATIO) * F.col("x.most"))
+    # where the first token shared stands bounds the overlap; every true pair passes there
+    fits &= F.least(n - F.col("x.at"), m - F.col("y.at")) >= need
+    # a bit that the other set lacks is a token that it lacks
+    lacks = lambda p, q: sum((F.bit_count(F.col(f"{p}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.b{k}")))) for k in range(BITMAP)), F.lit(0))
+    fits &= (n - lacks("x", "y") >= need) & (m - lacks("y", "x") >= need)
+    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & fits)
+    pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    left = pairs.join(classes.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
+    both = left.join(classes.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
+    scored = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), F.size("x").alias("n"), F.size("y").alias("m"))
+    found = scored.select("a", "b", (F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("score")).where(F.col("score") >= F.lit(threshold))
+    found = materialize(found, "class-pairs")
+    release(keyed)
+    return found
 
 
 def similar_pairs(fragments: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) with a < b, score >= threshold, comparable; fragments: ord, file_path, lines, token_count, tokens."""
+    """(a, b, score) with a < b, score >= threshold, comparable; fragments: ord, file_path, lines, token_count, and items or tokens."""
     rows = fragments.where("token_count > 0")
-    sets = encoded(rows)
-    if threshold > 0:
-        size = F.size("items")
-        prefix = F.greatest(F.lit(1), (size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)) + 1).cast("int"))
-        keyed = sets.select("ord", "file_path", "start_line", "end_line", "token_count", size.alias("n"), F.posexplode(F.slice("items", F.lit(1), prefix)).alias("at", "key"))
-        least = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - F.lit(1e-9)
-        # where the first token shared stands bounds the overlap; every true pair passes there
-        rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-        least = least & (rest >= F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6))
-    else:
-        band = F.floor(F.log(F.col("token_count").cast("double")) / F.lit(math.log(MOST_SIZE_RATIO + 1e-6)))
-        keyed = sets.select("ord", "file_path", "start_line", "end_line", "token_count", F.size("items").alias("n"), band.alias("key"))
-        least = F.lit(True)
-    right = keyed if threshold > 0 else keyed.withColumn("key", F.explode(F.array(F.col("key") - 1, F.col("key"), F.col("key") + 1)))
-    pairs = (
-        keyed.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.ord") < F.col("b.ord")) & least & comparable("a", "b"))
-        .select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b")).distinct()
-    )
-    left = pairs.join(sets.select(F.col("ord").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("ord").alias("b"), F.col("items").alias("y")), "b")
+    if "items" not in rows.columns:
+        rows = rows.withColumn("items", items_of(F.col("tokens")))
+    place = ["ord", "file_path", "start_line", "end_line", "token_count"]
+    if threshold <= 0:
+        return _banded(rows.select(*place, "items"), threshold)
+    rows = materialize(rows.select(*place, "items", F.xxhash64("items").alias("h1"), F.hash("items").alias("h2"), F.size("items").alias("n")), "items")
+    own = ["h1", "h2", "n"]
+    members = materialize(rows.drop("items").join(rows.groupBy(*own).agg(F.min("ord").alias("rep"), F.count(F.lit(1)).alias("size")), own).select(*place, "rep", "size"), "set-members")
+    sizes = members.groupBy("rep").agg(F.min("token_count").cast("int").alias("least"), F.max("token_count").cast("int").alias("most"))
+    classes = materialize(rows.select(F.col("ord").alias("rep"), "items").join(sizes, "rep"), "sets")
+    found = _class_pairs(classes, threshold)
+    across = found.join(members.withColumnRenamed("rep", "a").alias("x"), "a").join(members.withColumnRenamed("rep", "b").alias("y"), "b").where(comparable("x", "y"))
+    out = across.select(F.least("x.ord", "y.ord").alias("a"), F.greatest("x.ord", "y.ord").alias("b"), "score")
+    several = members.where("size > 1")
+    x, y = several.alias("x"), several.alias("y")
+    within = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.ord") < F.col("y.ord")) & comparable("x", "y"))
+    return out.unionByName(within.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.lit(1.0).alias("score")))
+
+
+def _banded(rows: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of fitting size."""
+    band = F.floor(F.log(F.col("token_count").cast("double")) / F.lit(math.log(MOST_SIZE_RATIO + 1e-6)))
+    keyed = rows.drop("items").withColumn("key", band)
+    right = keyed.withColumn("key", F.explode(F.array(F.col("key") - 1, F.col("key"), F.col("key") + 1)))
+    pairs = keyed.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.ord") < F.col("b.ord")) & comparable("a", "b")).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b")).distinct()
+    left = pairs.join(rows.select(F.col("ord").alias("a"), F.col("items").alias("x")), "a")
+    both = left.join(rows.select(F.col("ord").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     scored = both.select("a", "b", common.alias("i"), F.size("x").alias("n"), F.size("y").alias("m"))
     return scored.select("a", "b", (F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("score")).where(F.col("score") >= F.lit(threshold))

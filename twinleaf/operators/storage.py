@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of the session: spark.checkpoint.dir.
 
-    Only where a session names none (tests, a laptop) a temporary folder of
-    this machine is used; a cluster always names one.
+    Only a session on one machine that names none (tests, a laptop) uses a temporary folder;
+    on a cluster each executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"twinleaf-{os.getuid()}")
     return named.rstrip("/")
 

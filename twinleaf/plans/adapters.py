@@ -29,17 +29,32 @@ def page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fragments(read(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"), F.lit("JavaScript"), "file", F.coalesce("html", F.lit("")))
 
 
+#: Turns of a conversation at most, so that its fragments have numbers of their own.
+TURNS = 1 << 20
+#: Turns whose lines are added up in one task.
+STRETCH = 1024
+
+
 def conversation_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per conversation, and its turns as functions within."""
+    """A file per conversation, and its turns as functions within.
+
+    A turn's lines follow those before it: sums over stretches of turns first, so that no task adds up a whole hot conversation.
+    """
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    placed = turns.withColumn("lines", n_lines(F.col("text"))).withColumn("end_line", F.sum("lines").over(w).cast("int"))
+    turns = turns.withColumn("lines", n_lines(F.col("text"))).withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    so_far = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = turns.groupBy("conv_id", "stretch").agg(F.sum("lines").alias("n")).select("conv_id", "stretch", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
+    within = Window.partitionBy("conv_id", "stretch").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    placed = turns.withColumn("end", F.sum("lines").over(within)).join(sums, ["conv_id", "stretch"]).withColumn("end_line", (F.col("before") + F.col("end")).cast("int"))
+    first = F.col("conv_id") * TURNS
+    number = F.when(F.col("turn").between(0, TURNS - 2), first + F.col("turn") + 1).otherwise(F.raise_error(F.lit("a conversation has too many turns")).cast("long"))
     inner = placed.select(
-        (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("ord"), F.col("conv_id").cast("string").alias("file_path"), F.lit("function").alias("fragment_type"),
+        number.alias("ord"), F.col("conv_id").cast("string").alias("file_path"), F.lit("function").alias("fragment_type"),
         (F.col("end_line") - F.col("lines") + 1).alias("start_line"), "end_line", F.col("text").alias("source_text"),
     )
+    # a file is one row: its text is gathered, as any file's is
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")).select(
-        (F.col("conv_id") * 1000).alias("ord"), F.col("conv_id").cast("string").alias("file_path"), F.lit("file").alias("fragment_type"),
+        first.alias("ord"), F.col("conv_id").cast("string").alias("file_path"), F.lit("file").alias("fragment_type"),
         F.lit(1).alias("start_line"), n_lines(F.col("text")).alias("end_line"), F.col("text").alias("source_text"),
     )
     both = inner.unionByName(whole)

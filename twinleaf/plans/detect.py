@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import with_tokens
 from ..operators.exact import equal_groups, unassigned
 from ..operators.groups import similar_groups
-from ..operators.similarity import similar_pairs
+from ..operators.similarity import items_of, similar_pairs
 from ..operators.storage import materialize
 
 MEMBERS = "group_id string, clone_type int, representative_hash string, similarity_score double, ord long"
@@ -40,7 +40,9 @@ def detect(fragments: DataFrame, types: Collection[int] = (1, 2, 3), threshold:
     """
     spark = fragments.sparkSession
     hashed = with_tokens(fragments, structural=2 in types)
-    columns = ["ord", "file_path", "start_line", "end_line", "token_count", "raw_hash", *(["normalized_hash"] if 2 in types else []), *(["tokens"] if 3 in types else [])]
+    if 3 in types:
+        hashed = hashed.withColumn("items", items_of(F.col("tokens")))
+    columns = ["ord", "file_path", "start_line", "end_line", "token_count", "raw_hash", *(["normalized_hash"] if 2 in types else []), *(["items"] if 3 in types else [])]
     rows = materialize(hashed.select(*columns), "fragments")
     out = spark.createDataFrame([], MEMBERS)
     if 1 in types:

@@ -12,6 +12,7 @@ from ..operators.exact import equal_groups, unassigned
 from ..operators.groups import similar_groups, without_containers
 from ..operators.similarity import nested, similar_pairs
 from ..operators.storage import materialize
+from ..sources.extract import large_enough
 from ..sources.scan import glob_matches, language_of
 from .adapters import conversation_fragments, document_fragments, page_fragments, read
 from .detect import detect
@@ -138,12 +139,12 @@ def glob_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_count_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_fragments(spark, sf_dir).select(F.col("ord").alias("doc_id"), "end_line").where("end_line - 1 + 1 >= 10")
+    return large_enough(document_fragments(spark, sf_dir), 10).select(F.col("ord").alias("doc_id"), "end_line")
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     fragments, found = _detected_documents(spark, sf_dir)
-    return report_groups(found, fragments).select("group_id", "clone_type", F.size("members").alias("n_members"), F.to_json("members").alias("members_json"))
+    return report_groups(found, fragments).select("group_id", "clone_type", F.size("members").alias("n_members"), F.to_json("members", {"ignoreNullFields": "false"}).alias("members_json"))
 
 
 _TOKEN = (
@@ -175,10 +176,10 @@ _DETECTED = f"""{_PAIRS}, m AS (
   SELECT m.*, coalesce(source, '') = 'src1' OR (lower(coalesce(source, '')) = 'src2' AND m.doc_id = 7) AS is_basis FROM m JOIN documents USING (doc_id)
 ), bg AS (SELECT group_id, clone_type, bool_and(is_basis) AS basis_internal FROM mb GROUP BY 1, 2 HAVING bool_or(is_basis))"""
 _CONV = f"""turns AS (SELECT conv_id, turn, coalesce(text, '') AS text, {_LINES} AS lines FROM conversations), placed AS (
-  SELECT conv_id * 1000 + turn + 1 AS ord, conv_id, text, (sum(lines) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::INTEGER AS e, lines FROM turns
+  SELECT conv_id * 1048576 + turn + 1 AS ord, conv_id, text, (sum(lines) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::INTEGER AS e, lines FROM turns
 ), f AS (
   SELECT ord, conv_id::VARCHAR AS file_path, e - lines + 1 AS s, e, text FROM placed
-  UNION ALL SELECT conv_id * 1000, conv_id::VARCHAR, 1, sum(lines)::INTEGER, string_agg(text, chr(10) ORDER BY turn) FROM turns GROUP BY conv_id
+  UNION ALL SELECT conv_id * 1048576, conv_id::VARCHAR, 1, sum(lines)::INTEGER, string_agg(text, chr(10) ORDER BY turn) FROM turns GROUP BY conv_id
 )"""
 
 

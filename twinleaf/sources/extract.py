@@ -16,12 +16,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import normalise, tokens
+
 SCHEMA = (
     "file_ord long, place int, fragment_id string, file_path string, language string, fragment_type string, start_line int, end_line int, source_text string, error string"
 )
+#: Fragments of a file at most.
+PLACES = 1 << 20
 _QUIET = re.compile(r"\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)")
 _NAME = r"[A-Za-z_$][\w$]*"
 _RESERVED = frozenset("if for while switch catch return new throw else do try synchronized using foreach unless eval super this".split())
@@ -187,9 +191,9 @@ def extract(content: bytes, language: str, min_lines: int = 10, code_blocks_only
 
 
 def fragments_of(files: DataFrame, min_lines: int = 10, code_blocks_only: bool = False) -> DataFrame:
-    """files (file_ord, path, language, content) as SCHEMA with ord; a file that can't be read gives one row with its error.
+    """files (file_ord, path, language, content) as SCHEMA with ord; a file that can't be read, or has no content, gives one row with its error.
 
-    ord is the file's place above the fragment's place in it, so that the order needs no global sort.
+    ord is the file's dense number above the fragment's place in it (of PLACES at most), so that the order needs no global sort.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,6 +202,8 @@ def fragments_of(files: DataFrame, min_lines: int = 10, code_blocks_only: bool =
             rows = []
             for f in b.itertuples():
                 try:
+                    if f.content is None:
+                        raise OSError("the file can't be read")
                     for k, (kind, first, last, text) in enumerate(extract(bytes(f.content), f.language, min_lines, code_blocks_only)):
                         rows.append((f.file_ord, k, f"{f.file_ord}-{k}", f.path, f.language, kind, first, last, text, None))
                 except Exception as e:  # one broken file must not end the run; it is reported
@@ -205,4 +211,25 @@ def fragments_of(files: DataFrame, min_lines: int = 10, code_blocks_only: bool =
             yield pd.DataFrame(rows, columns=columns)
 
     rows = files.select("file_ord", "path", "language", "content").mapInPandas(cut, SCHEMA)
-    return rows.withColumn("ord", F.shiftleft("file_ord", 20) + F.col("place"))
+    too_many = F.raise_error(F.lit("a file has too many fragments")).cast("long")
+    return rows.withColumn("ord", F.when(F.col("place") < PLACES, F.col("file_ord") * PLACES + F.col("place")).otherwise(too_many))
+
+
+def node_text(content: Column, start: Column, end: Column) -> Column:
+    """The text of a node from its byte range; bytes that are no UTF-8 become replacement characters."""
+    return F.decode(F.substring(content, start + 1, end - start), "UTF-8")
+
+
+def extract_tokens(nodes: DataFrame) -> DataFrame:
+    """nodes (content, start_byte, end_byte, ...) with the raw tokens of each node's text."""
+    return nodes.withColumn("tokens", tokens(node_text(F.col("content"), F.col("start_byte"), F.col("end_byte"))))
+
+
+def extract_and_normalise(nodes: DataFrame) -> DataFrame:
+    """nodes (content, start_byte, end_byte, language, ...) with raw and normalised tokens."""
+    return extract_tokens(nodes).withColumn("normalized_tokens", normalise("tokens", "language"))
+
+
+def large_enough(fragments: DataFrame, min_lines: int) -> DataFrame:
+    """The fragments of at least min_lines lines."""
+    return fragments.where(F.col("end_line") - F.col("start_line") + 1 >= min_lines)
