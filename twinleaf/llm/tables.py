@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: whatever stands between blanks, tabs, line and page breaks.
@@ -18,3 +21,29 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+#: Texts of a batch that a Python worker takes.
+TEXTS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
+    """Lowers the rows of Arrow batches for the session, where they are more: for frames of texts that are run later.
+
+    A batch of Spark's 10,000 texts takes tens of MB on both sides of a worker, twice while the next one is made.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most so many rows for what is planned meanwhile: texts and sets are long, and two batches of a worker are in memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
