@@ -18,6 +18,8 @@ from .html_blocks import Block
 PATH_DIM, WORD_DIM, EXTRA = 192, 48, 8
 DIM = PATH_DIM + WORD_DIM + EXTRA
 HIDDEN = 24
+#: Elements of a path, counted from the block, that weigh each for themselves.
+NEAR = 12
 PIECES = re.compile(r"[a-z]+|[^\W\d_a-z]+")
 
 
@@ -38,8 +40,9 @@ class Featurizer:
             if len(self.paths) > 50_000:
                 self.paths.clear()
             v = np.zeros(PATH_DIM, dtype=np.float32)
-            for depth, name in enumerate(reversed(path[-12:])):
-                weight = 1.0 if depth == 0 else 0.7
+            # the innermost NEAR elements one by one, those around them once for each name
+            near, outer = path[-NEAR:], dict.fromkeys(path[:-NEAR])
+            for weight, name in [(1.0 if depth == 0 else 0.7, x) for depth, x in enumerate(reversed(near))] + [(0.4, x) for x in outer if x not in near]:
                 tag, *names = name.split(" ")
                 v[_slot(f"<{tag}>", PATH_DIM)] += weight
                 for piece in {x for n in names for x in PIECES.findall(n)}:

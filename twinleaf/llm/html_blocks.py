@@ -6,13 +6,16 @@ import html
 import re
 from dataclasses import dataclass
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow ms msub msup mtext mfrac msqrt object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea select".split())
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template iframe svg textarea select".split())
 #: An opening tag of the key closes an open one of the values, up to a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("article aside body details div dl fieldset footer form header html main menu nav ol section table tbody ul blockquote figure".split())
 
+BLOCKS = frozenset("address caption center dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li p pre search summary td th thead tfoot tr".split())
+
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -26,6 +29,11 @@ class Block:
     link_chars: int
 
 
+def is_block(tag: str) -> bool:
+    """Whether the tag parts blocks of text; those within a form's or a drawing's elements don't."""
+    return bool(tag) and tag not in INLINE and tag not in VOID and tag in CONTAINERS | BLOCKS
+
+
 def element(tag: str, attributes: str) -> str:
     """The tag with the words of its class, id and role, as one string."""
     if not attributes or not attributes.strip(" /"):
@@ -43,6 +51,7 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     link = 0
     in_link = 0
+    unclosed: set[str] = set()  # raw elements of which no end follows
 
     def flush() -> None:
         nonlocal link
@@ -85,8 +94,15 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in RAW:
             flush()
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+                continue
+            # without an end it reaches to the next block
+            unclosed.add(tag)
+            while (m := MARKUP.search(page, at)) and not is_block((m[2] or m[5] or "").lower()):
+                at = m.end()
+            at = m.start() if m else n
             continue
         if tag in INLINE:
             if tag not in VOID and not attributes.endswith("/"):
