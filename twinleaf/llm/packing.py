@@ -6,15 +6,17 @@ where the sum of N(g)^2 becomes smallest. Items are taken from the longest to
 the shortest, which leaves short pieces for the last gaps.
 
 Documents are tokenized where they are read; only (doc_id, piece, length,
-checksum) move. The pieces are dealt by a hash to shards of about SHARD
-pieces, each packed by one task with the 2048 gap counts as its whole state.
+checksum) move. The pieces are written with a number each, and dealt by a hash of it to shards of about SHARD
+pieces, each packed by one task with the 2048 gap counts as its whole state: repeated rows spread like others.
 Sequences that a shard leaves with a gap are opened again, and their pieces
 are packed anew in shards of the next level, which mix the leftovers of many
-shards. It ends when a level fits one shard, or a level saves nothing.
+shards. It ends when a level fits one shard, or closes sequences of less than LEAST_CLOSED of its pieces: then
+the rest is of sizes that don't go together.
 
 Edge cases: null or empty texts give one piece of length 1 (the closing id 0).
 Documents over the limit are cut, and only these. Repeated rows are packed one
-by one; equal (doc_id, piece) rows stay separate, and a null doc_id stays null. An empty table gives an empty result.
+by one; equal (doc_id, piece) rows stay separate, and a null doc_id stays null. Other columns, whatever their names, play no part.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import materialize
-from .tables import table
+from .tables import small_batches, table
 from .tokens import encoder, public_path
 
 CAPACITY = 2048
 SHARD = 4096
 END_ID = 0
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
+#: Share of a level's pieces that must end in full sequences for another level to follow.
+LEAST_CLOSED = 0.02
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class SumOfSquares:
@@ -95,57 +99,52 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                     raw += end
                     for piece, at in enumerate(range(0, len(raw), step)):
                         part = raw[at : at + step]
-                        crc = zlib.crc32(part)
-                        rows.append((row, piece, at // 4, len(part) // 4, crc, crc ^ (piece * 0x9E3779B1 & 0xFFFFFFFF)))
+                        rows.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 row, piece, *rest = zip(*rows)
                 # ids pass as they are: null ones would make numbers with a fraction of large ones in pandas
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in rest)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in rest)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """pieces (PIECES) with sequence_id and offset."""
+    """pieces (PIECES and row, a number of each) with sequence_id and offset."""
 
     full = F.col("length") == capacity
-    own = F.col("doc_id"), F.col("piece"), F.col("salt")
     packed = []
 
     def one(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         bins, offsets, filled = pack_shard(rows["length"].to_numpy(), capacity)
         made = {"sequence_id": (key[0].as_py() << 24) + bins, "offset": offsets, "gap": capacity - filled[bins]}
         return pa.table([*rows.columns, *made.values()], names=[*rows.column_names, *made])
 
     open_pieces = pieces.where(~full)
-    level, left = 0, pieces.where(~full).count()
+    level, left = 0, open_pieces.count()
     while left:
         shards = -(-left // shard)
         # a level's shards have numbers of their own, so that sequences stay apart
-        dealt = open_pieces.withColumn("shard", F.pmod(F.xxhash64(*own, F.lit(level)), F.lit(shards)) + F.lit(level << 34))
-        done = materialize(dealt.groupBy("shard").applyInArrow(one, f"{PIECES}, sequence_id long, offset long, gap long"), f"pack{level}")
-        if shards == 1:
+        dealt = open_pieces.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)) + F.lit(level << 34))
+        done = materialize(dealt.groupBy("shard").applyInArrow(one, f"{PIECES}, row long, sequence_id long, offset long, gap long"), f"pack{level}")
+        last, left = left, done.where("gap > 0").count()
+        if shards == 1 or left > (1 - LEAST_CLOSED) * last:
             packed.append(done)
             break
         packed.append(done.where("gap = 0"))
-        last, left = left, done.where("gap > 0").count()
-        if left > 0.9 * last or level == 3:
-            packed[-1] = done
-            break
         open_pieces = done.where("gap > 0").drop("sequence_id", "offset", "gap")
         level += 1
     # a full piece is a sequence of its own
-    alone = pieces.where(full).withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")})
-    out = alone
+    out = pieces.where(full).withColumns({"sequence_id": -F.col("row") - 1, "offset": F.lit(0).cast("long")})
     for p in packed:
         out = out.unionByName(p.drop("gap"))
-    return out.drop("salt")
+    return out.drop("row")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    pieces = materialize(pieces_of(docs, tokenizer_path or public_path("word_bpe_49k.json"), capacity), "pieces")
-    return pack(pieces, capacity, shard)
+    cut = pieces_of(docs, tokenizer_path or public_path("word_bpe_49k.json"), capacity)
+    return pack(materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity, shard)
 
 
 def op3_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
