@@ -170,23 +170,34 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, columns unchanged."""
-    chosen = copies(docs, weights, most)
-    size, dup, n = (fresh_name(docs, x) for x in ("size", "dup", "copies"))
-    per_row = chosen.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.map_from_entries(F.collect_list(F.struct("dup", "copies"))).alias("by_dup"))
+    """docs with each row repeated as often as the mix takes it, columns unchanged.
+
+    Rows that agree in doc_id, source and size are taken equally often or once more: the first of them, as many as copies() says. Where
+    that parts rows of one key, they are numbered and written, the partition in which the last one to be taken lies is found by counts, and
+    only its rows are ranked: no task ranks all rows of a key.
+    """
+    size, low, extra, row, part, n, limit, before, c = (fresh_name(docs, x) for x in ("size", "low", "extra", "row", "part", "copies", "limit", "before", "count"))
+    keys = ["doc_id", "source", size]
+    chosen = copies(docs, weights, most).withColumnRenamed("size", size).groupBy(*keys).agg(F.min("copies").alias(low), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias(extra))
     keyed = docs.withColumn(size, n_words(F.col("text")))
-    joined = keyed.alias("d").join(
-        per_row.alias("c"),
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col(f"d.{size}") == F.col("c.size")),
-    )
-    # which of several equal keys takes which count makes no difference to the words taken: the counts are summed and shared out in turn
-    total = F.aggregate(F.map_values("c.by_dup"), F.lit(0), lambda a, x: a + x)
-    most_dup = F.array_max(F.map_keys("c.by_dup"))
-    single = joined.where(most_dup == 0).select("d.*", total.alias(n))
-    w = Window.partitionBy("d.doc_id", "d.source", f"d.{size}").orderBy(*[F.col(f"d.`{c}`") for c in docs.columns if "map<" not in dict(docs.dtypes)[c]])
-    several = joined.where(most_dup > 0).withColumn(dup, F.row_number().over(w) - 1).select("d.*", F.coalesce(F.element_at("c.by_dup", F.col(dup)), F.lit(0)).alias(n))
-    both = single.unionByName(several)
-    return both.where(F.col(n) > 0).withColumn(dup, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(dup, n, size)
+
+    def same(x: str, y: str, on: list[str]) -> Column:
+        out = F.lit(True)
+        for k in on:
+            out = out & F.col(f"{x}.`{k}`").eqNullSafe(F.col(f"{y}.`{k}`"))
+        return out
+
+    joined = keyed.alias("d").join(chosen.where((F.col(low) > 0) | (F.col(extra) > 0)).alias("c"), same("d", "c", keys)).select("d.*", low, extra)
+    even = joined.where(F.col(extra) == 0).select(*docs.columns, F.col(low).alias(n))
+    uneven = materialize(joined.where(F.col(extra) > 0).withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, 33)), "mix-uneven")
+    counts = uneven.groupBy(*keys, extra, part).agg(F.count(F.lit(1)).alias(c))
+    w = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    crossing = counts.withColumn(before, F.coalesce(F.sum(c).over(w), F.lit(0))).where((F.col(before) < F.col(extra)) & (F.col(extra) <= F.col(before) + F.col(c)))
+    rows = uneven.select(*keys, part, row).alias("d").join(crossing.alias("c"), same("d", "c", [*keys, part])).select("d.*", (F.col(f"c.{extra}") - F.col(f"c.{before}")).alias(extra))
+    last = rows.withColumn(c, F.row_number().over(Window.partitionBy(*keys).orderBy(row))).where(F.col(c) == F.col(extra)).select(*keys, F.col(row).alias(limit))
+    parted = uneven.alias("d").join(last.alias("c"), same("d", "c", keys)).select("d.*", f"c.{limit}").select(*docs.columns, (F.col(low) + (F.col(row) <= F.col(limit)).cast("long")).alias(n))
+    both = even.unionByName(parted)
+    return both.where(F.col(n) > 0).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))).select(docs.columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
