@@ -8,10 +8,16 @@ task) gives candidate places, which are chained across insertions and deletions.
 longest common subsequence within BAND words of the diagonal, and reports the
 share of the template that it covers and the span in the text.
 
+A template of at most LINE words has too few to spare: it counts only word for word. Of templates that match
+overlapping words the one wins that fits best: most matched words, less those of the template and of the span that
+aren't. So a licence isn't reported as another one that holds most of its words, nor a notice as a line of it.
+
+Templates are a parameter, a table of names and texts of any length; those of license_texts are what stands for it.
+
 Edge cases: null or empty texts give no row, nor do texts without a match of
 at least LEAST_COVER. Every occurrence is a row of its own; repeated rows repeat
-their rows. Words are runs of ASCII letters and digits and of all non-ASCII bytes; case and
-punctuation play no part. Other columns play no part. An empty table gives an empty result.
+their rows. Of equally good overlapping matches the first by name stays. Words are runs of ASCII letters and digits and of all non-ASCII bytes; case and
+punctuation play no part. Other columns, whatever their names, play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,15 +31,15 @@ from pyspark.sql import functions as F
 
 from .license_texts import TEMPLATES
 from .shingles import U, shingle_hashes, text_buffers, word_hashes, word_spans
-from .tables import table
+from .tables import small_batches, table
 
 GRAM, WINDOW, BAND = 3, 2, 8
 LEAST_COVER = 0.8
+#: Templates of up to so many words match word for word only.
+LINE = 20
 _PARTS = np.ones(256, dtype=bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _PARTS[_lo:_hi] = False
-#: Licences whose texts hold one another's.
-RIVALS = ("BSD-2-Clause", "BSD-3-Clause")
 RESULT = "doc_id long, license string, matched_words long, template_words long, coverage double, start_char long, end_char long"
 
 
@@ -141,11 +147,13 @@ def chains(p: np.ndarray, q: np.ndarray, size: int, band: int) -> list[np.ndarra
     return out
 
 
-def without_rivals(rows: list[tuple]) -> list[tuple]:
-    """Rows of one text, of RIVALS over the same words only the one that fits best: matched words against those of template and span."""
-    fit = lambda r: 2 * r[2] / (r[3] + r[7])
-    out = [r for r in rows if not any(r[1] in RIVALS and o[1] in RIVALS and o[1] != r[1] and o[5] < r[6] and r[5] < o[6] and fit(o) > fit(r) for o in rows)]
-    return [r[:7] for r in out]
+def winners(rows: list[tuple]) -> list[tuple]:
+    """Rows of one text (RESULT, then the words of the span) without those that overlap a better one."""
+    out: list[tuple] = []
+    for r in sorted(rows, key=lambda r: (r[3] + r[7] - 3 * r[2], r[1], r[5])):
+        if not any(o[5] < r[6] and r[5] < o[6] for o in out):
+            out.append(r)
+    return [r[:7] for r in sorted(out, key=lambda r: r[5])]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_cover: float = LEAST_COVER) -> DataFrame:
@@ -187,7 +195,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_cover:
                         base = max(0, shift - wide, done + 1)
                         window = text[base : shift + len(template) + wide + 1]
                         n, s, e = align(template, window, shift - base, wide)
-                        if n < least_cover * len(template):
+                        if n < least_cover * len(template) or len(template) <= LINE and not (n == len(template) == e - s + 1):
                             continue
                         done = e + base
                         a, z = starts[first[d] + s + base], ends[first[d] + done]
@@ -196,9 +204,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_cover:
                         inside = len(data[a:z].tobytes().decode("utf-8", "replace"))
                         own.setdefault(d, []).append((part.column(0)[d].as_py(), index.names[t], n, len(template), n / len(template), before, before + inside, e - s + 1))
                 for found_in in own.values():
-                    rows += without_rivals(found_in)
+                    rows += winners(found_in)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(7)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, RESULT)
 
 
