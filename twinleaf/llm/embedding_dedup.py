@@ -6,29 +6,33 @@
    hyperplanes into leaves of at most LEAF vectors, in which each finds its
    NEIGHBOURS nearest. The number of trees grows with the number of cuts.
 3. NN-descent: around each vector, its neighbours and those that have it as a neighbour are
-   compared with each other; each keeps its nearest. Rounds go on while lists change
+   compared with each other; each member takes its PER_CENTRE nearest from there and keeps its nearest of all. Rounds go on while lists change
    much, ROUNDS at most.
 4. Edges of at least the threshold give components. A list that is full of such edges is saturated: it may
-   lack links to other full lists. Saturated vectors are searched exactly for links to those of other
+   lack links to other full lists. Saturated lists are enlarged to twice their length from their neighbours' neighbours,
+   again and again up to MOST_NEIGHBOURS. What is saturated even then is searched exactly for links to vectors of other
    components: caps (centre and largest angle) of CAP vectors of a component are compared with
    all other caps, and where they don't prove that nothing links, the vectors are.
-   So components don't depend on NEIGHBOURS.
-5. In each component of more than two
-   vectors all links are counted exactly, in blocks of BLOCK vectors against
-   blocks, so that no pair is ever emitted. Two blocks whose caps prove all or
-   none of the pairs linked are not multiplied.
+   So components don't depend on the length of lists.
+5. In each component of more than two vectors all links are counted exactly, without ever emitting a pair. A component of over BLOCK
+   vectors is cut into local blocks of CAP; blocks whose caps prove all or none of their pairs linked are counted or passed over as
+   a whole, and only the others meet vector by vector.
 6. The audit takes AUDIT random vectors of each of three sizes of component and four times as many of those without
    one, finds their links among all vectors, and measures
-   how many the components hold, as a mean over vectors, apart by size. Below the wanted recall, twice as many hyperplanes
+   how many the components hold, as a mean over vectors with links, apart by size. Below the wanted recall, twice as many hyperplanes
    and further rounds follow; where REPEATS attempts aren't enough, all vectors are searched as saturated ones are.
+   The recall is logged and returned.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing
 and are kept. Vectors of different lengths never link. Repeated ids are rows of their own.
-A null vec_id is left out. Other columns play no part; an empty table gives an empty result.
+A row without a vec_id links as others do: its component_id is the smallest vec_id reachable, null if none is, and of such a component one
+row is kept. Other columns, whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +42,16 @@ from ..operators.components import connected_components
 from ..operators.storage import materialize, release
 from .tables import table
 
+LOG = logging.getLogger(__name__)
 THRESHOLD = 0.95
-NEIGHBOURS = 12
+#: Length of a list, and of a saturated one at most before it is searched exactly.
+NEIGHBOURS, MOST_NEIGHBOURS = 12, 48
+#: Neighbours that a vector takes from one centre's surroundings, and those that a centre has besides its own list.
+PER_CENTRE, BACKWARD = 4, 4
+#: Parts to which the vectors that name one neighbour go first, so that a hub is cut down in many tasks.
+SALTS = 32
+#: Bytes of vectors that meet in one task, about.
+TASK_BYTES = 32_000_000
 LEAF = 128
 TREES = 8
 ROUNDS = 3
@@ -106,8 +118,8 @@ def _leaf_lists(k: int, seed: int):
     return search
 
 
-def _local_join(k: int):
-    """Compares the members of each centre's surroundings with each other; the centre itself is one of them."""
+def _local_join(k: int, each: int):
+    """Compares the members of each centre's surroundings with each other, each taking `each` from there; the centre itself is one of them."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"node": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})]
@@ -124,7 +136,7 @@ def _local_join(k: int):
                     continue
                 sims = x[idx] @ x[idx].T
                 np.fill_diagonal(sims, -2)
-                m = min(k, len(idx) - 1, 4)
+                m = min(k, len(idx) - 1, each)
                 near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
                 rows = np.repeat(np.arange(len(idx)), m)
                 out.append(pd.DataFrame({"node": unique[idx][rows], "other": unique[idx][near.ravel()], "cos": sims[rows, near.ravel()]}))
@@ -138,50 +150,47 @@ def _merge(k: int):
     return lambda pdf: top_per_node(pdf[["node", "other", "cos"]], k)
 
 
-def best(lists: DataFrame, k: int, parts: int) -> DataFrame:
-    dealt = lists.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+def best(lists: DataFrame, k: int, parts: int, salts: int = 1) -> DataFrame:
+    """The k best rows of each node; with salts, only of those that a salt of other brings together."""
+    salt = [F.pmod(F.xxhash64("other"), F.lit(salts))] if salts > 1 else []
+    dealt = lists.withColumn("part", F.pmod(F.xxhash64("node", *salt), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(_merge(k), LIST)
 
 
-def _count_blocks(threshold: float):
-    """Links of each vector of block i to those of block j, weights counted."""
-    theta = np.arccos(threshold)
+def _count_small(threshold: float):
+    """Links of each vector within its component, weights counted, its own row included."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for part in by_length(pdf):
-            for _, pair in part.groupby(["component", "i", "j"], sort=False):
-                i, j = int(pair["i"].iloc[0]), int(pair["j"].iloc[0])
-                pair = pair.sort_values("node")
-                a = pair[pair["block"] == i]
-                b = a if i == j else pair[pair["block"] == j]
-                if not len(a) or not len(b):
-                    continue
-                x, y = matrix(a["vec"]), matrix(b["vec"])
-                wa, wb = a["weight"].to_numpy(), b["weight"].to_numpy()
-                cx, cy = x.mean(axis=0), y.mean(axis=0)
-                cx, cy = cx / max(np.linalg.norm(cx), 1e-300), cy / max(np.linalg.norm(cy), 1e-300)
-                rx, ry = (np.arccos(np.clip((z @ c).min(), -1, 1)) for z, c in ((x, cx), (y, cy)))
-                between = np.arccos(np.clip(cx @ cy, -1, 1))
-                if between - rx - ry > theta + 1e-6:
-                    continue
-                if between + rx + ry < theta - 1e-6:
-                    na, nb = np.full(len(a), wb.sum()), np.full(len(b), wa.sum())
-                else:
-                    linked = (x @ y.T) >= threshold
-                    if i == j:
-                        np.fill_diagonal(linked, True)
-                    na, nb = linked @ wb, linked.T @ wa
-                out.append(pd.DataFrame({"node": a["node"].to_numpy(), "n": na}))
-                if i != j:
-                    out.append(pd.DataFrame({"node": b["node"].to_numpy(), "n": nb}))
-        return pd.concat(out) if out else pd.DataFrame({"node": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+        for _, own in pdf.sort_values("node").groupby("component", sort=False):
+            linked = (x := matrix(own["vec"])) @ x.T >= threshold
+            np.fill_diagonal(linked, True)
+            out.append(pd.DataFrame({"node": own["node"].to_numpy(), "n": linked @ own["weight"].to_numpy()}))
+        return pd.concat(out)
+
+    return count
+
+
+def _count_pairs(threshold: float):
+    """Links between the vectors of two blocks, weights counted."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (a, b), pair in pdf.sort_values("node").groupby(["a", "b"], sort=False):
+            p, q = pair[pair["block"] == a], pair[pair["block"] == b]
+            linked = matrix(p["vec"]) @ matrix(q["vec"]).T >= threshold
+            if a == b:
+                np.fill_diagonal(linked, True)
+            out.append(pd.DataFrame({"node": p["node"].to_numpy(), "n": linked @ q["weight"].to_numpy()}))
+            if a != b:
+                out.append(pd.DataFrame({"node": q["node"].to_numpy(), "n": linked.T @ p["weight"].to_numpy()}))
+        return pd.concat(out)
 
     return count
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vec): vectors in double precision as bytes, null where nothing can link."""
+    """(vec_id, vec, row): vectors in double precision as bytes, null where nothing can link; row is a number to be written with them."""
     values = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists("embedding", lambda v: F.coalesce(v != 0, F.lit(False)))
 
@@ -192,7 +201,8 @@ def usable(vectors: DataFrame) -> DataFrame:
             vecs = [None if not ok.as_py() else np.array(v.values.to_numpy(zero_copy_only=False), dtype="<f8").tobytes() for v, ok in zip(b.column(1), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vecs, pa.binary())], names=["vec_id", "vec"])
 
-    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, values).alias("v"), F.coalesce(fine, F.lit(False)).alias("ok")).mapInArrow(as_bytes, "vec_id long, vec binary")
+    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, values).alias("v"), F.coalesce(fine, F.lit(False)).alias("ok")).mapInArrow(as_bytes, "vec_id long, vec binary")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def trees_for(n: int, threshold: float) -> int:
@@ -223,20 +233,47 @@ def first_lists(nodes: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
     rank = F.coalesce(F.size(F.filter("cuts", lambda v: v < F.col("along"))), F.lit(0))
     wanted = F.least(F.ceil(F.col("c") / (2 * BUCKET)), F.lit(SLICES))
     slice_ = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.floor(rank * wanted / SLICES))
-    cut = rows.join(sizes, "bucket").withColumn("bucket", F.col("bucket") * 4096 + slice_).select("node", "vec", "bucket")
+    # beyond SLICES of them, a slice is dealt further by a hash
+    deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / (2 * BUCKET * SLICES)))
+    cut = rows.join(sizes, "bucket").withColumn("bucket", F.xxhash64("bucket", slice_, deal)).select("node", "vec", "bucket")
     return cut.groupBy("bucket").applyInPandas(_leaf_lists(NEIGHBOURS, seed), LIST)
 
 
-def descend(nodes: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
-    """One round of NN-descent."""
-    forward = lists.select(F.col("node").alias("centre"), F.col("other").alias("node"), "cos")
-    backward = lists.select(F.col("other").alias("centre"), "node", "cos")
-    # the centre's best NEIGHBOURS of both kinds, so that a hub is no larger than others; those left out stay in their own lists
-    around = best(forward.unionByName(backward).select(F.col("centre").alias("node"), F.col("node").alias("other"), "cos"), NEIGHBOURS + 4, parts)
-    members = around.select(F.col("node").alias("centre"), F.col("other").alias("node")).unionByName(around.select(F.col("node").alias("centre"), "node").distinct())
+def around(lists: DataFrame, k: int, parts: int) -> DataFrame:
+    """(centre, node): the best of a centre's own list and of those that name it, and the centre itself."""
+    backward = lists.select(F.col("other").alias("node"), F.col("node").alias("other"), "cos")
+    # a hub is named by any number of others: cut down by salts first, so that no task gets all of them; those left out stay in their own lists
+    found = best(lists.select("node", "other", "cos").unionByName(best(backward, k + BACKWARD, parts, SALTS)), k + BACKWARD, parts)
+    return found.select(F.col("node").alias("centre"), F.col("other").alias("node")).unionByName(found.select(F.col("node").alias("centre"), "node").distinct())
+
+
+def descend(nodes: DataFrame, lists: DataFrame, k: int, parts: int, centres: DataFrame | None = None, each: int = PER_CENTRE) -> DataFrame:
+    """One round of NN-descent, around the given centres (node) or all; lists of k."""
+    members = around(lists, k, parts)
+    if centres is not None:
+        members = members.join(centres.select(F.col("node").alias("centre")), "centre", "left_semi")
     surroundings = members.join(nodes.select("node", "vec"), "node").withColumn("part", F.pmod(F.xxhash64("centre"), F.lit(parts)))
-    found = surroundings.groupBy("part").applyInPandas(_local_join(NEIGHBOURS), LIST)
-    return best(lists.unionByName(found), NEIGHBOURS, parts)
+    found = surroundings.groupBy("part").applyInPandas(_local_join(k, each), LIST)
+    return best(lists.unionByName(found), k, parts)
+
+
+def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(node) whose list of k is full of links."""
+    return lists.where(F.col("cos") >= threshold).groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select("node")
+
+
+def enlarged(nodes: DataFrame, lists: DataFrame, threshold: float, parts: int) -> tuple[DataFrame, DataFrame]:
+    """lists with saturated ones at twice the length, again and again up to MOST_NEIGHBOURS, and the nodes still saturated."""
+    k = NEIGHBOURS
+    full = materialize(saturated(lists, k, threshold), "emb-full")
+    while k < MOST_NEIGHBOURS and not full.isEmpty():
+        k *= 2
+        now = materialize(descend(nodes, lists, k, parts, full, k), "emb-lists")
+        for used in (lists, full):
+            release(used)
+        lists = now
+        full = materialize(saturated(lists, k, threshold), "emb-full")
+    return lists, full
 
 
 def audit(nodes: DataFrame, labels: DataFrame, threshold: float, queries: int = AUDIT) -> float:
@@ -280,7 +317,7 @@ def audit(nodes: DataFrame, labels: DataFrame, threshold: float, queries: int =
 
 
 def _caps(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Deals vectors of one component to blocks of at most CAP; the row of a block's least node has its cap."""
+    """Deals vectors of one component to local blocks of at most CAP; the row of a block's least node has its cap and its weight."""
     out = []
     for part in by_length(pdf):
         for _, own in part.groupby("component", sort=True):
@@ -292,35 +329,68 @@ def _caps(pdf: pd.DataFrame) -> pd.DataFrame:
                 c = c / max(np.linalg.norm(c), 1e-300)
                 head = np.arange(len(idx)) == 0
                 radius = float(np.arccos(np.clip((x[idx] @ c).min(), -1, 1)))
-                rows = own.loc[idx, ["node", "vec", "component"]].assign(block=ids[idx[0]], radius=np.where(head, radius, 0.0))
+                rows = own.loc[idx, ["node", "vec", "weight", "component"]].assign(block=ids[idx[0]], radius=np.where(head, radius, 0.0))
+                rows["mass"] = np.where(head, rows["weight"].sum(), 0)
                 rows["centre"] = [c.astype("<f8").tobytes() if h else None for h in head]
                 out.append(rows)
     return pd.concat(out)
 
 
-def _near_caps(threshold: float):
-    """Pairs of blocks of different components that their caps don't prove unlinked."""
+def blocks_of(members: DataFrame, parts: int) -> DataFrame:
+    """members (node, vec, weight, component) in local blocks, with their caps."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    dealt = members.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (16 * CAP))))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("component", "piece"), F.lit(parts * 4)))
+    made = dealt.select("node", "vec", "weight", "component", "part").groupBy("part").applyInPandas(_caps, "node long, vec binary, weight long, component long, block long, radius double, mass long, centre binary")
+    return materialize(made, "emb-blocks")
+
+
+PAIR = "a long, ca long, b long, cb long, between double, whole boolean, ma long, mb long"
+
+
+def _cap_pairs(threshold: float, same: bool):
+    """Pairs of blocks that their caps don't prove unlinked, of one component or of different ones; whole: their caps prove all pairs linked."""
     theta = np.arccos(threshold)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({k: pd.Series(dtype=t) for k, t in (("a", "int64"), ("ca", "int64"), ("b", "int64"), ("cb", "int64"), ("between", "float64"))})]
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        for part in by_length(pdf.rename(columns={"centre": "vec"})):
-            p, q = part[part["chunk"] == i], part[part["chunk"] == j]
-            if not len(p) or not len(q):
-                continue
-            between = np.arccos(np.clip(matrix(p["vec"]) @ matrix(q["vec"]).T, -1, 1))
-            near = between - p["radius"].to_numpy()[:, None] - q["radius"].to_numpy() <= theta + 1e-6
-            near &= p["component"].to_numpy()[:, None] != q["component"].to_numpy()
-            if i == j:
-                near = np.triu(near, 1)
-            r, c = np.nonzero(near)
-            out.append(pd.DataFrame({"a": p["block"].to_numpy()[r], "ca": p["component"].to_numpy()[r], "b": q["block"].to_numpy()[c], "cb": q["component"].to_numpy()[c], "between": between[r, c]}))
+        names = [c.split(" ")[0] for c in PAIR.split(", ")]
+        out = [pd.DataFrame({c: pd.Series(dtype={"between": "float64", "whole": "bool"}.get(c, "int64")) for c in names})]
+        for _, group in pdf.groupby(["u", "i", "j"], sort=False):
+            i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+            for part in by_length(group.rename(columns={"centre": "vec"})):
+                p, q = part[part["chunk"] == i], part[part["chunk"] == j]
+                if not len(p) or not len(q):
+                    continue
+                rp, rq = p["radius"].to_numpy()[:, None], q["radius"].to_numpy()[None, :]
+                between = np.arccos(np.clip(matrix(p["vec"]) @ matrix(q["vec"]).T, -1, 1))
+                near = between - rp - rq <= theta + 1e-6
+                near &= (p["component"].to_numpy()[:, None] == q["component"].to_numpy()) == same
+                if i == j:
+                    near = np.triu(near, 0 if same else 1)
+                r, c = np.nonzero(near)
+                whole = (between + rp + rq < theta - 1e-6)[r, c]
+                out.append(pd.DataFrame({"a": p["block"].to_numpy()[r], "ca": p["component"].to_numpy()[r], "b": q["block"].to_numpy()[c], "cb": q["component"].to_numpy()[c], "between": between[r, c], "whole": whole, "ma": p["mass"].to_numpy()[r], "mb": q["mass"].to_numpy()[c]}))
         return pd.concat(out)
 
     return search
 
 
+def cap_pairs(blocks: DataFrame, threshold: float, same: bool, parts: int) -> DataFrame:
+    """PAIR rows of blocks; caps meet in chunks of CAPS, within a component or all."""
+    caps = blocks.where("centre is not null").select("block", "component", "radius", "centre", "mass").withColumn("u", F.col("component") if same else F.lit(0).cast("long"))
+    chunks = caps.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CAPS).alias("chunks"))
+    spread = caps.join(chunks, "u").withColumn("chunk", F.pmod(F.xxhash64("block"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    spread = spread.select("u", "block", "component", "radius", "centre", "mass", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    dealt = spread.withColumn("part", F.pmod(F.xxhash64("u", "i", "j"), F.lit(parts * 4)))
+    return dealt.groupBy("part").applyInPandas(_cap_pairs(threshold, same), PAIR)
+
+
+def vectors_of(pairs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
+    """The vectors of the blocks of each pair (a, b), dealt out by pair."""
+    both = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).join(blocks.select("block", "node", "vec", "weight", "component"), "block")
+    return both.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(parts * 4)))
+
+
 def _any_link(threshold: float):
     """(node, other): one link of each pair of blocks that has any."""
 
@@ -346,27 +416,14 @@ def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 def across(nodes: DataFrame, labels: DataFrame, asked: DataFrame, threshold: float, parts: int) -> DataFrame:
     """labels with all links joined that the nodes of asked have to asked nodes of other components: an exact search."""
-    members = nodes.join(asked.select("node"), "node", "left_semi").join(labels, "node", "left").select("node", "vec", F.coalesce("component", "node").alias("component"))
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (16 * CAP))))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("component", "piece"), F.lit(parts * 4)))
-    blocks = materialize(dealt.select("node", "vec", "component", "part").groupBy("part").applyInPandas(_caps, "node long, vec binary, component long, block long, radius double, centre binary"), "emb-blocks")
-    caps = blocks.where("centre is not null").select("block", "component", "radius", "centre")
-    n = caps.count()
-    if n < 2:
-        return labels
-    chunks = -(-n // CAPS)
-    here = F.pmod(F.xxhash64("block"), F.lit(chunks))
-    spread = caps.withColumn("chunk", here).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    spread = spread.select("block", "component", "radius", "centre", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    near = materialize(spread.groupBy("i", "j").applyInPandas(_near_caps(threshold), "a long, ca long, b long, cb long, between double"), "emb-near")
+    members = nodes.join(asked.select("node"), "node", "left_semi").join(labels, "node", "left").select("node", "vec", "weight", F.coalesce("component", "node").alias("component"))
+    blocks = blocks_of(members, parts)
+    near = materialize(cap_pairs(blocks, threshold, False, parts), "emb-near")
     pair = F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")
     nearest = near.groupBy(*pair).agg(F.min(F.struct("between", "a", "b")).alias("m")).select("m.a", "m.b")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("block")).join(blocks.select("block", "node", "vec", "component"), "block")
-        both = both.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(parts * 4)))
-        return materialize(both.groupBy("part").applyInPandas(_any_link(threshold), "node long, other long"), "emb-across")
+        return materialize(vectors_of(pairs, blocks, parts).groupBy("part").applyInPandas(_any_link(threshold), "node long, other long"), "emb-across")
 
     if near.isEmpty():
         release(blocks)
@@ -387,15 +444,33 @@ def across(nodes: DataFrame, labels: DataFrame, asked: DataFrame, threshold: flo
     return now
 
 
+def link_counts(nodes: DataFrame, labels: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(node, n): rows linked with each vector that has a component, its own rows included."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = materialize(labels.join(sizes, "component").join(nodes.select("node", "vec", "weight"), "node"), "emb-members")
+    small = members.where(F.col("size") <= BLOCK).withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts * 4)))
+    out = small.select("node", "vec", "weight", "component", "part").groupBy("part").applyInPandas(_count_small(threshold), "node long, n long")
+    large = members.where(F.col("size") > BLOCK).select("node", "vec", "weight", "component")
+    if not large.isEmpty():
+        blocks = blocks_of(large, parts)
+        pairs = materialize(cap_pairs(blocks, threshold, True, parts), "emb-pairs")
+        some = vectors_of(pairs.where("not whole"), blocks, parts).groupBy("part").applyInPandas(_count_pairs(threshold), "node long, n long")
+        # blocks that are linked as a whole: a number for each block, and each of its vectors has it
+        whole = pairs.where("whole")
+        by_block = whole.select(F.col("a").alias("block"), F.col("mb").alias("m")).unionByName(whole.where("a <> b").select(F.col("b").alias("block"), F.col("ma").alias("m"))).groupBy("block").agg(F.sum("m").alias("n"))
+        out = out.unionByName(some).unionByName(blocks.select("node", "block").join(by_block, "block").select("node", "n"))
+    return out.groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding)."""
+    """(vec_id, n_links, component_id, kept, recall) of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors), "emb-rows")
     good = rows.where("vec is not null")
-    nodes = materialize(good.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")), "emb-nodes")
-    n = nodes.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
-    lists = None
+    nodes = materialize(good.groupBy("vec").agg(F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")), "emb-nodes")
+    n, size = nodes.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.octet_length("vec")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n * size * (NEIGHBOURS + BACKWARD + 1) // TASK_BYTES) + 1)
+    lists, recall = None, 0.0
     for attempt in range(REPEATS):
         start = first_lists(nodes, n, trees_for(n, threshold) << attempt, attempt)
         now = materialize(best(start if lists is None else lists.unionByName(start), NEIGHBOURS, parts), "emb-lists")
@@ -403,36 +478,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         lists = now
         before = lists.agg(F.sum("cos")).first()[0] or 0.0
         for _ in range(ROUNDS):
-            now = materialize(descend(nodes, lists, parts), "emb-lists")
+            now = materialize(descend(nodes, lists, NEIGHBOURS, parts), "emb-lists")
             release(lists)
             lists = now
             after = lists.agg(F.sum("cos")).first()[0] or 0.0
             if after - before <= 0.002 * abs(before):
                 break
             before = after
+        lists, full = enlarged(nodes, lists, threshold, parts)
         edges = lists.where(F.col("cos") >= threshold).select("node", "other")
         labels = materialize(connected_components(edges, "node", "other"), "emb-labels")
-        saturated = edges.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= NEIGHBOURS)
-        labels = across(nodes, labels, saturated, threshold, parts)
-        if audit(nodes, labels, threshold) >= RECALL:
+        labels = across(nodes, labels, full, threshold, parts)
+        recall = audit(nodes, labels, threshold)
+        LOG.info("attempt %d: recall %.4f over vectors with links", attempt + 1, recall)
+        if recall >= RECALL:
             break
     else:
         # no number of trees was enough: all vectors are searched exactly
         labels = across(nodes, labels, nodes, threshold, parts)
-    # in each component all links are counted
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    members = labels.join(sizes, "component").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("blocks", blocks)
-    partner = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    paired = members.withColumn("partner", F.explode(partner)).select("component", "node", "vec", "weight", "block", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
-    dealt = paired.withColumn("part", F.pmod(F.xxhash64("component", "i", "j"), F.lit(parts * 4)))
-    counts = dealt.groupBy("part").applyInPandas(_count_blocks(threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    known = nodes.join(labels, "node", "left").join(counts, "node", "left").select("vec", F.coalesce("component", "node").alias("component"), (F.coalesce("n", "weight") - 1).alias("n_links"))
+        recall = audit(nodes, labels, threshold)
+        LOG.warning("recall %.4f after an exact search of all vectors", recall)
+    counts = link_counts(nodes, labels, threshold, parts)
+    known = nodes.join(labels, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    smallest = known.groupBy("root").agg(F.min("least").alias("smallest"))
+    known = known.join(smallest, "root").select("vec", "node", "root", "smallest", (F.coalesce("n", "weight") - 1).alias("n_links"))
+    component = F.coalesce("smallest", "vec_id")
     return rows.join(known, "vec", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"),
+        component.alias("component_id"),
+        F.when(component.isNull(), F.coalesce("root", "row") == F.col("row")).otherwise(F.coalesce(component == F.col("vec_id"), F.lit(False))).alias("kept"),
+        F.lit(float(recall)).alias("recall"),
     )
 
 
