@@ -7,7 +7,7 @@ the shortest, which leaves short pieces for the last gaps.
 
 Documents are tokenized where they are read; only (doc_id, piece, length,
 checksum) move. The pieces are written with a number each, and dealt by a hash of it to shards of about SHARD
-pieces, each packed by one task with the 2048 gap counts as its whole state: repeated rows spread like others.
+pieces (of up to 64 sequences' worth where these are very short), each packed by one task with the 2048 gap counts as its whole state: repeated rows spread like others.
 Sequences that a shard leaves with a gap are opened again, and their pieces
 are packed anew in shards of the next level, which mix the leftovers of many
 shards. It ends when a level fits one shard, or closes sequences of less than LEAST_CLOSED of its pieces: then
@@ -34,7 +34,8 @@ from .tables import small_batches, table
 from .tokens import encoder, public_path
 
 CAPACITY = 2048
-SHARD = 4096
+#: Pieces of a shard, about; shards of very short pieces hold more, so that they fill SEQUENCES of them.
+SHARD, SEQUENCES = 4096, 64
 END_ID = 0
 #: Share of a level's pieces that must end in full sequences for another level to follow.
 LEAST_CLOSED = 0.02
@@ -122,13 +123,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         return pa.table([*rows.columns, *made.values()], names=[*rows.column_names, *made])
 
     open_pieces = pieces.where(~full)
-    level, left = 0, open_pieces.count()
+    level = 0
+    left, tokens = open_pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     while left:
-        shards = -(-left // shard)
+        shards = min(-(-left // shard), -(-tokens // (SEQUENCES * capacity)))
         # a level's shards have numbers of their own, so that sequences stay apart
         dealt = open_pieces.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)) + F.lit(level << 34))
         done = materialize(dealt.groupBy("shard").applyInArrow(one, f"{PIECES}, row long, sequence_id long, offset long, gap long"), f"pack{level}")
-        last, left = left, done.where("gap > 0").count()
+        last = left
+        left, tokens = done.where("gap > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         if shards == 1 or left > (1 - LEAST_CLOSED) * last:
             packed.append(done)
             break
