@@ -24,6 +24,14 @@ def document_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fragments(read(spark, sf_dir, "documents"), F.col("doc_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.col("lang"), "file", F.coalesce("text", F.lit("")))
 
 
+def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file per document, and as a function within all its lines but the last."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = _fragments(rows, F.col("doc_id") * 2, F.col("path"), F.lit("Python"), "file", F.col("text"))
+    inner = rows.where(F.col("text").contains("\n")).withColumn("text", F.regexp_replace("text", r"\n[^\n]*\z", ""))
+    return whole.unionByName(_fragments(inner, F.col("doc_id") * 2 + 1, F.col("path"), F.lit("Python"), "function", F.col("text")))
+
+
 def page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JavaScript file per page: markup full of quotes, slashes and comments."""
     return _fragments(read(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"), F.lit("JavaScript"), "file", F.coalesce("html", F.lit("")))

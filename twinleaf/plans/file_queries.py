@@ -16,10 +16,10 @@ from ..operators.basis import with_basis
 from ..operators.storage import materialize, work_dir
 from ..sources.extract import extract_and_normalise, fragments_of
 from ..sources.scan import IgnoreRules, scan, target_list
-from .adapters import conversation_fragments, document_fragments, page_fragments, read
+from .adapters import conversation_fragments, document_fragments, document_parts, page_fragments, read
 from .detect import detect
 from .fixtures import FOLDERS, KINDS, chosen, code, code_files, code_sql, code_tree, extension_sql, folder_sql, fragments_sql, language_sql
-from .queries import _CONV, _DETECTED, _HASHED, _ONES, BASIS_DIRECTORY, BASIS_SUFFIX, THRESHOLD, _detected_documents, _t
+from .queries import _CONV, _DETECTED, _HASHED, _LINES, _ONES, BASIS_DIRECTORY, BASIS_SUFFIX, THRESHOLD, _detected_documents, _t
 from .report import basis_summary, console, report_groups, report_members, summary, write_html, write_reports
 from .store import SessionStore
 
@@ -167,7 +167,7 @@ def store_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str, types: tuple[int, ...]) -> DataFrame:
-    found = detect(conversation_fragments(spark, sf_dir), types, THRESHOLD)
+    found = detect(document_parts(spark, sf_dir), types, THRESHOLD)
     return found.members.select("group_id", "clone_type", "representative_hash", "similarity_score", "ord")
 
 
@@ -284,11 +284,17 @@ def _tree_sql(where: str) -> str:
 _NEST = "((x.s <= y.s AND x.e >= y.e) OR (y.s <= x.s AND y.e >= x.e))"
 
 
+_PARTS = f"""f AS (
+  SELECT doc_id * 2 AS ord, concat_ws('/', source, doc_id::VARCHAR) AS file_path, 1 AS s, {_LINES} AS e, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT doc_id * 2 + 1, concat_ws('/', source, doc_id::VARCHAR), 1, {_LINES} - 1, regexp_replace(text, '\\n[^\\n]*\\z', '') FROM documents WHERE contains(text, chr(10))
+)"""
+
+
 def _detection_sql(types: tuple[int, ...]) -> str:
-    """Members of groups of conversation fragments by definition."""
+    """Members of groups of document_parts by definition."""
     ones = "(SELECT raw_hash FROM r GROUP BY 1 HAVING count(*) >= 2)" if 1 in types else "(SELECT 'none')"
     twos = "(SELECT normalized_hash FROM rest1 GROUP BY 1 HAVING count(*) >= 2)" if 2 in types else "(SELECT 'none')"
-    return f"""WITH RECURSIVE {_CONV}, h AS (SELECT ord, 'Python' AS language, {_t('text')} AS t FROM f), {_normal_by_language('h', 'ord')}, r AS (
+    return f"""WITH RECURSIVE {_PARTS}, h AS (SELECT ord, 'Python' AS language, {_t('text')} AS t FROM f), {_normal_by_language('h', 'ord')}, r AS (
       SELECT h.ord, file_path, s, e, t, len(t) AS n, sha256(array_to_string(t, '|')) AS raw_hash, coalesce(normalized_hash, sha256('')) AS normalized_hash FROM h JOIN f USING (ord) LEFT JOIN norm ON norm.ord = h.ord
     ), m1 AS (SELECT * FROM r WHERE raw_hash IN {ones}), rest1 AS (SELECT * FROM r WHERE ord NOT IN (SELECT ord FROM m1)),
     m2 AS (SELECT * FROM rest1 WHERE normalized_hash IN {twos}), c AS (
