@@ -2,6 +2,11 @@
 
 Stages 1 to 4 return the columns of documents; the last returns one row per
 packed piece. Every stage works on all rows that the one before it kept.
+
+Edge cases: a null or empty text fails the quality rules. Rows without a doc_id, lang or source go through all stages like others:
+their languages are told from their texts, a null source is a source of its own. Of rows of one group of near duplicates one stays, repeated rows and
+rows without an id included: that of the smallest doc_id, null last; of equal ones any one. Then the mix may repeat it. Very long texts are
+worked on whole. Extra columns pass through the first four stages, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
