@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 
 #: Pieces in each of a worker's two generations: what a full generation saw and the one before it are kept.
-KEPT = 250_000
+KEPT = 150_000
 #: Pieces encoded in one call of the library.
 LOT = 512
 #: The characters up to U+024F of a general category: what \\p{L} and \\p{N} mean for Latin texts.
