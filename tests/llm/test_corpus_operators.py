@@ -69,16 +69,25 @@ def test_ngram_join(spark, monkeypatch, piece):
     monkeypatch.setattr(ngram_join, "PIECE", piece)
     monkeypatch.setattr(ngram_join, "FREQUENT_DF", 4)
     texts = corpus()
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(9, texts[9], "y"), (None, "a b", "z")], "doc_id long, text string, component_id string")
+    more = [(9, texts[9], "y"), (None, "a b", "z"), (None, "no id", "z"), (None, "no id", "z"), (9, "another text of nine", "z")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + more, "doc_id long, text string, component_id string")
     got = ngram_join.jaccard_components(docs.repartition(3)).collect()
     sets = {i: shingles(t) for i, t in enumerate(texts)}
     want = components(sets)
-    assert len(got) == len(texts) + 1
+    assert len(got) == len(texts) + len(more)
+    odd = [tuple(r) for r in got if r.doc_id is None]
+    # without an id: the component of "a b", and one of their own without any id
+    assert sorted(odd, key=str) == [(None, 1, 3), (None, 1, None), (None, 1, None)]
+    nines = [tuple(r) for r in got if r.doc_id == 9]
+    assert sorted(nines) == sorted([(9, len(sets[9]), want[9])] * 2 + [(9, 1, 9)])
     for r in got:
-        assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
+        if r.doc_id not in (None, 9):
+            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
     kept = ngram_join.one_of_each_group(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([k for k, c in want.items() if k == c] + [9] * (want[9] == 9))
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(i for i, t in rows if i is not None and t != more[-1][1]) == sorted(k for k, c in want.items() if k == c)
+    assert rows.count((None, "no id")) == 1 and rows.count((9, more[-1][1])) == 1 and sum(i is None for i, _ in rows) == 1
 
 
 def test_ngram_join_of_nothing(spark):
@@ -213,7 +222,7 @@ def test_embeddings(spark, monkeypatch):
         assert (by[i].n_links, by[i].component_id) == (links[i].sum() - 1, int(np.argmax(reach[i]))), i
         assert by[i].kept == (by[i].component_id == i)
     for i in (1000, 1001, 1002, 1003, 1004, 1007):
-        assert tuple(by[i]) == (i, 0, i, True)
+        assert tuple(by[i])[:4] == (i, 0, i, True)
     assert by[1006].component_id == 1005 and by[1005].n_links == 1
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -235,3 +244,22 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and {r.doc_id for r in got} <= set(range(60))
     assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, tmp_path):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices(["tion", "the", "ing", "of", "ed"], k=rng.randint(1, 3)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    a, b, c = text(80), text(90), text(20_000)
+    rows = [(None, a, "en", "s1", 1, 0.1), (None, a, "en", "s1", 1, 0.2), (3, b, None, None, None, 0.3), (3, b, None, None, None, 0.4), (4, c, "en", "s2", 9, None), (5, None, None, None, None, None), (6, "", "en", "s1", 0, None)]
+    rows += [(100 + k, text(70), "en", f"s{k % 3}", 1, 0.0) for k in range(20)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "one" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == [x.split(" ")[0] for x in schema.split(", ")]
+    left = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert left == Counter([(None, a), (3, b), (4, c), *((r[0], r[1]) for r in rows if (r[0] or 0) >= 100)])
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

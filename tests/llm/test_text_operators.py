@@ -1,15 +1,19 @@
 """Quality rules, language identification, HTML extraction, licences, chat, rollups."""
 
 import json
+import math
+import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from twinleaf.llm import queries as llm
 from twinleaf.llm import chat_format, html_extract, language_id, license_scan, quality_rules, token_rollups
 from twinleaf.llm.block_labeller import DIM, Featurizer, Labeller, padded
 from twinleaf.llm.html_blocks import blocks
@@ -90,7 +94,60 @@ def test_language(spark):
 def test_backoff_goes_to_shorter_grams():
     m = language_id.BackoffModel.fit([("aa", "tion", 5), ("bb", "xyz", 5)])
     assert m.predict("tion")[0] == "aa" and m.predict("ration")[0] == "aa" and m.predict("zzz")[0] == "bb"
-    assert np.allclose(m.scores(["tion", "tion", "new"]), 2 * m.vector("tion") + m.vector("new"))
+    one = lambda t: m.scores(pa.array([t]))[0][0]
+    assert np.allclose(one("tion tion new"), 2 * one("tion") + one("new"))
+
+
+def test_scores_against_a_plain_restatement():
+    """Word by word with dictionaries, as the method says; also a text of many words."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
+    counted = Counter((lang, word()) for lang in ("aa", "bb", "cc") for _ in range(150))
+    counted = [(lang, w, n) for (lang, w), n in counted.items()]
+    m = language_id.BackoffModel.fit(counted)
+    langs = sorted({x for x, _, _ in counted})
+    total = {x: sum(n for a, _, n in counted if a == x) + 1 for x in langs}
+    logs = {w: [math.log((sum(n for a, v, n in counted if (a, v) == (x, w)) + 0.5) / total[x]) for x in langs] for _, w, _ in counted}
+
+    def cut(w, k):
+        w = f"^{w}$" if k > 1 else w
+        return [w[i : i + k] for i in range(len(w) - k + 1)]
+
+    pieces = {x: Counter() for x in langs}
+    for x, w, n in counted:
+        for k in (1, 2, 3, 4):
+            for g in cut(w, k):
+                pieces[x][g] += n
+    size = {(x, k): sum(n for g, n in pieces[x].items() if len(g) == k) + 1 for x in langs for k in (1, 2, 3, 4)}
+    known = {g for p in pieces.values() for g in p}
+
+    def vector(w):
+        if w in logs:
+            return logs[w]
+        for k in (4, 3, 2, 1):
+            gs = [g for g in cut(w, k) if g in known]
+            if gs:
+                return [sum(math.log((pieces[x][g] + 0.5) / size[x, k]) for g in gs) / len(gs) for x in langs]
+        return [0.0] * len(langs)
+
+    texts = [None, "", "12 !", "É", "zzz", "a", *(" ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(60)), " ".join(word() for _ in range(60_000))]
+    names, scores = m.predict_all(pa.array(texts, pa.string()))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            assert (name, score) == ("und", 0.0)
+            continue
+        s = [sum(v) / math.sqrt(len(words)) for v in zip(*map(vector, words))]
+        e = [math.exp(x - max(s)) for x in s]
+        assert abs(score - max(e) / sum(e)) < 1e-6 and abs(e[langs.index(name)] - 1) < 1e-6
+
+
+def test_the_sample_takes_each_id_once(spark):
+    rows = [(7, "only one text here", "aa")] * 900 + [(100 + i, f"other words {i}", "bb") for i in range(120)] + [(None, f"no id {i % 4}", "cc") for i in range(40)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 60).collect()
+    assert len(got) == 60 and len({r.text for r in got}) == 60
+    every = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5000).collect()
+    assert Counter(r.lang for r in every) == {"aa": 1, "bb": 120, "cc": 4}
 
 
 def test_lstm_gradients():
@@ -121,20 +178,73 @@ def test_blocks():
     assert len(blocks("<div>" * 2000 + "x")) == 1
 
 
-def test_extraction_held_out(spark):
-    body = lambda i: f"<p>Main text number {i} runs on, and on.</p><h2>Part</h2><p>More of the text {i}, as said.</p>"
-    page = lambda i: f"<html><head><title>T{i}</title></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><aside class=sidebar><p>Side {i}</p></aside><article>{body(i)}</article><div class=comments><p>Nice one</p></div><footer>&copy; me</footer></body></html>"
-    rows = [(i, "u", page(i)) for i in range(60)] + [(90, "u", None), (91, None, ""), (0, "u", page(0))]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    model = html_extract.train(pages)
-    got = html_extract.main_text(pages, model).collect()
-    assert len(got) == len(rows)
-    want = {i: f"Main text number {i} runs on, and on. Part More of the text {i}, as said." for i in range(60)} | {90: "", 91: ""}
-    assert all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
-    made = html_extract.made_pages(150, ["ab", "cd", "ef"], seed=5)
+def test_raw_elements_that_never_end():
+    texts = lambda s: [b.text for b in blocks(s)]
+    assert texts("<article><p>one</p><select><option>z</article><p>rest of the page</p>") == ["one", "rest of the page"]
+    for tag in ("svg", "textarea", "script", "style"):
+        assert texts(f"<p>a</p><{tag} x=1>gone<p>b</p><div>c</div>") == ["a", "b", "c"]
+    assert texts("<p>let <math><mi>x</mi></math> be <object>shown</object></p>") == ["let x be shown"]
+    assert texts("<script>" * 3000 + "<p>end</p>") == ["end"]
+    deep = "<nav>" + "<div>" * 40 + "<p>menu</p>" + "</div>" * 40 + "</nav>"
+    look = Featurizer()
+    inside, outside = blocks(deep)[0], blocks(deep.replace("nav>", "section>"))[0]
+    assert (look.path(inside.path) != look.path(outside.path)).any()
+
+
+def page_of(rng, i):
+    """(html, main text) of a page that follows no made page: other names, orders and depths, with its text known as it is written."""
+    word = lambda: "".join(rng.choices(["ka", "lu", "mor", "tis", "den", "o"], k=rng.randint(1, 4)))
+    say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    main, out = [], []
+
+    def put(tag, text, keep):
+        out.append(f"<{tag}>{text.replace('&', '&amp;')}</{tag.split(' ')[0]}>")
+        if keep:
+            main.append(text)
+
+    out.append(f"<html><head><title>{say(2, 6)}</title><script>if (a < b) x('<p>no</p>')</script></head><body><div class=page-wrap>")
+    if rng.random() < 0.7:
+        out.append("<nav class=top><ul>" + "".join(f"<li><a href=/{k}>{say(1, 2)}</a></li>" for k in range(rng.randint(3, 8))) + "</ul></nav>")
+    if rng.random() < 0.5:
+        put('div class="cookie-notice"', say(5, 15), False)
+    out.append("<article>")
+    put("h1", say(3, 9), True)
+    for _ in range(rng.randint(2, 9)):
+        put(rng.choice(["p", "p", "p", "h2", "blockquote"]), say(6, 60) + rng.choice([".", " & so on."]), True)
+        if rng.random() < 0.1:
+            put('div class="ad-box"', say(4, 12), False)
+    out.append("</article>")
+    if rng.random() < 0.5:
+        out.append("<aside>")
+        put("p", say(3, 20), False)
+        out.append("</aside>")
+    if rng.random() < 0.5:
+        out.append('<section class="comments">')
+        for _ in range(rng.randint(1, 4)):
+            put("p", say(3, 25), False)
+        out.append("</section>")
+    put("footer", f"© {say(2, 8)}", False)
+    return "".join(out) + "</div></body></html>", " ".join(main)
+
+
+def test_extraction_of_pages_that_it_was_not_trained_on(spark):
+    rng = random.Random(41)
+    made = [page_of(rng, i) for i in range(150)]
+    rows = [(i, "u", h, "x") for i, (h, _) in enumerate(made)] + [(900, "u", None, "x"), (901, None, "", "x"), (0, "u", made[0][0], "x"), (902, "u", "<p>" + "<br>".join(f"line {k}." for k in range(1500)), "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    model = html_extract.train()
+    got = html_extract.main_text(pages.select("page_id", "url", "html"), model).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    by = {r.page_id: r.text for r in got}
+    assert by[900] == by[901] == ""
+    right = sum(by[i] == want for i, (_, want) in enumerate(made))
+    assert right >= 140, right
+    assert html_extract.main_text(pages.limit(0).select("page_id", "url", "html"), model).count() == 0
+    # and blocks of layouts as in training, other pages
+    more = html_extract.made_pages(150, seed=5)
     look = Featurizer()
-    right = [((p >= 0.5) == (y > 0.5)).mean() for p, (_, y) in zip(model.probabilities([look.page(b) for b, _ in made]), made, strict=True)]
-    assert np.mean(right) > 0.95
+    share = [((p >= 0.5) == (y > 0.5)).mean() for p, (_, y) in zip(model.probabilities([look.page(b) for b, _ in more]), more, strict=True)]
+    assert np.mean(share) > 0.95
 
 
 def test_licenses(spark):
@@ -172,10 +282,10 @@ def test_chat(spark):
     assert len(got) == len(rows)
     by = {(r.conv_id, r.turn): r for r in got}
     assert json.loads(by[1, 0].message) == {"content": 'hi "you"\n', "role": "user"}
-    order = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.position, r.part))
+    order = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.position, r.path))
     assert [r.turn for r in order] == [0, 2, 3, 1, 4]
     message = json.loads(by[1, 2].message)
-    assert message["tool_calls"][0] == {"arguments": {"limit": "3", "query": 'é"'}, "id": "c1", "name": "search"}
+    assert message["tool_calls"][0] == {"arguments": {"limit": 3, "query": 'é"'}, "id": "c1", "name": "search"}
     assert by[1, 2].linked is True and by[1, 2].valid is False and by[1, 4].linked is False and by[1, 1].linked is True
     assert by[2, 0].message == '{"content":"","role":"user"}'
     problems = chat_format.validated(chat_format.tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat_format.tool_schemas(spark)).collect()
@@ -189,6 +299,21 @@ def test_tokens_are_the_library_s():
         assert e.ids(t).tolist() == (e.tokenizer.encode(t, add_special_tokens=False).ids if t else [])
 
 
+def test_many_texts_are_the_library_s():
+    e = PieceEncoder(public_path("word_bpe_49k.json"))
+    rng = random.Random(12)
+    signs = "abcdefgzAQZ0123456789 .,;:'\"-_#@!?\n\t" + "àéîõüßçñÆØåŁőžſĳŉ" + "дяжΩλςאبक中文한\u0301½²Ⅷ€™"
+    latin = signs[:58]
+    texts = ["".join(rng.choices(latin if k % 3 else signs, k=rng.randint(0, 60))) for k in range(4000)]
+    texts += [w + rng.choice([" ", "", "'"]) + rng.choice(["'s", "'T", "'re", "n't", "<|endoftext|>", "<|startoftext|>", "1,000.5"]) for w in texts[:1000]]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    got = [np.frombuffer(x, dtype="<u4").tolist() for low in range(0, len(texts), 128) for x in e.raw(texts[low : low + 128])]
+    assert all(g == w.ids for g, w in zip(got, want, strict=True))
+
+
+ROLLUP = "doc_id long, source string, lang string, text string, n_tokens int"
+
+
 def test_rollup(spark, tmp_path):
     docs = spark.createDataFrame([("a", "x", "one two"), ("a", "x", "one two"), (None, "y", None), ("b", None, "")], "source string, lang string, text string")
     roll = token_rollups.DeltaRollup(spark, str(tmp_path / "r"))
@@ -196,9 +321,58 @@ def test_rollup(spark, tmp_path):
     assert roll.commit("1", token_rollups.deltas(docs)) and not roll.commit("1", token_rollups.deltas(docs))
     words = lambda: {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_chars) for r in roll.totals().where("tokenizer_version = 'words@1'").collect()}
     assert words() == {("a", "x"): (2, 4, 14), (None, "y"): (1, 0, 0), ("b", None): (1, 0, 0)}
+    assert roll.compact()
     revised = spark.createDataFrame([("a", "x", "three")], docs.schema)
     roll.commit("2", token_rollups.deltas(docs.limit(0)).unionByName(token_rollups.deltas(spark.createDataFrame([("a", "x", "one two")], docs.schema), -1)).unionByName(token_rollups.deltas(revised)))
-    assert words()["a", "x"] == (2, 3, 12) and roll.committed() == ["batch=1", "batch=2"]
+    assert words()["a", "x"] == (2, 3, 12) and roll.committed() == ["1", "2"]
     roll.commit("3", token_rollups.deltas(spark.createDataFrame([("b", None, "")], docs.schema), -1))
     assert ("b", None) not in words()
-    assert pa.__version__ and pytest
+    assert not roll.commit("1", token_rollups.deltas(docs)) and words()["a", "x"] == (2, 3, 12)
+
+
+def test_two_writers_of_a_batch(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x", "one two")], "source string, lang string, text string")
+    roll = token_rollups.DeltaRollup(spark, str(tmp_path / "r"))
+    data = roll._write(token_rollups.deltas(docs))
+    other = roll._write(token_rollups.deltas(docs))
+    assert roll._mark("commits/b", [data]) and not roll._mark("commits/b", [other])
+    assert not roll.abandon("b") and roll.totals().where("tokenizer_version = 'words@1'").first().n_docs == 1
+    # a writer that died before its marker was filled
+    roll.fs.create(roll.at(f"{roll.path}/commits/c"), False).close()
+    assert roll.committed() == ["b"] and not roll.commit("c", token_rollups.deltas(docs))
+    assert roll.abandon("c") and roll.commit("c", token_rollups.deltas(docs)) and roll.committed() == ["b", "c"]
+
+
+def test_rollup_of_a_history_against_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    say = lambda: rng.choice([None, "", "Straße don't", " ".join(rng.choices(["alpha", "b2b,", "İx", "naïve"], k=rng.randint(1, 30)))])
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), say(), 7) for i in range(120)]
+    rows += [(None, "a", "x", "no id", 7), rows[3], rows[7], (500, "c", "x", " ".join(["long"] * 40_000), 7)]
+    docs = spark.createDataFrame(rows, ROLLUP)
+    tokenizer = PieceEncoder(public_path("word_bpe_49k.json")).tokenizer
+    want = Counter()
+    for _, source, lang, text, _ in rows:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids if text else []
+        for version, n in (("words@1", len(WORD.findall(text or ""))), ("word_bpe_49k@1", len(ids))):
+            for what, x in (("docs", 1), ("tokens", n), ("chars", len(text or ""))):
+                want[source, lang, version, what] += x
+    got = token_rollups.history(docs, token_rollups.DeltaRollup(spark, str(tmp_path / "r")), (token_rollups.WORDS_V1, token_rollups.BPE_V1)).collect()
+    found = {(r.source, r.lang, r.tokenizer_version, k): r[f"n_{k}"] for r in got for k in ("docs", "tokens", "chars")}
+    assert found == dict(want)
+    assert token_rollups.history(docs.limit(0), token_rollups.DeltaRollup(spark, str(tmp_path / "e")), (token_rollups.WORDS_V1,)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    got = llm.QUERIES[name](spark, folder)
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.sql(llm.ORACLE_SQL[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    key = lambda columns: lambda r: str([r[columns.index(c)] for c in order])
+    assert sorted(map(key(got.columns), map(tuple, got.collect()))) == sorted(map(key(want.columns), want.fetchall()))
