@@ -2,8 +2,8 @@
 
 The labeller (block_labeller) is trained on pages that made_pages() writes: layouts with
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-around an article, whose true labels are known as they are written. No page of the table is
-used for training. It then decides on every block of every whole page; a page's text is its kept
+around an article, whose true labels are known as they are written; and on TRAIN_PAGES real
+pages at most (smallest hashes of their ids, each id once), labelled by the names of their elements. It then decides on every block of every whole page; a page's text is its kept
 blocks joined by a space.
 
 Edge cases: a null or empty page, or one without kept blocks, gives an empty text. Broken or
@@ -14,6 +14,7 @@ columns, whatever their names, are left out, an empty table gives an empty resul
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,32 @@ from .block_labeller import Featurizer, Labeller
 from .html_blocks import Block, blocks
 from .tables import small_batches, table
 
-MADE_PAGES = 700
+#: Bounds of the sample of real pages: how many, and the characters and blocks of one that is taken whole.
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_BLOCKS = 200, 200_000, 1000
+MADE_PAGES = 500
 #: Blocks that a worker labels at once, about: bounds the padded batch.
 BATCH_BLOCKS = 4096
-#: Words of a made page are of these syllables, mixed with words that are usual in each part around an article.
+#: Words of a made page are of these syllables, the same in all its parts: what tells the parts apart are tags, names, places and measures of text.
 SYLLABLES = "an be con de el er es ga ing la le men no on or per qua re sta ten ti un ver".split()
-USUAL = {
-    "menu": "home about contact news products services blog help login", "header": "welcome home search menu sign in", "footer": "copyright all rights reserved privacy policy terms contact imprint",
-    "sidebar": "related popular posts recent more read archive tags", "notice": "we use cookies accept privacy settings this site notice", "advert": "buy now sale offer free sponsored advertisement shop",
-    "form": "name email password submit send search subscribe newsletter", "comments": "reply says posted comment thanks agree", "share": "share tweet print email follow us",
-}
+
+
+#: Words in an element's tag, class, id or role that name what isn't main text.
+AROUND = frozenset(
+    "nav header footer aside menu sidebar ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert form login signup newsletter subscribe share social related recommended breadcrumb breadcrumbs pagination comment comments reply replies disqus widget toolbar copyright legal popup modal overlay hidden title head button label legend navigation contentinfo complementary search".split()
+)
+MAIN = frozenset("article main".split())
+SPLIT = re.compile(r"[a-z]+")
+
+
+def by_elements(page: list[Block]) -> np.ndarray:
+    """Labels of a real page: inside an article or main element, and in nothing around it."""
+
+    def words(name: str) -> set[str]:
+        return set(SPLIT.findall(name))
+
+    inside = [any(w & MAIN or w & {"content", "post", "entry", "story"} for w in map(words, b.path)) for b in page]
+    holds = any(inside)
+    return np.array([(i or not holds) and not any((words(e) & AROUND) and not (e.split(" ")[0] == "header" and k and "article" in b.path[k - 1].split(" ")[0]) for k, e in enumerate(b.path)) for i, b in zip(inside, page, strict=True)], dtype=np.float32)
 
 
 def made_words(n: int, seed: int) -> list[str]:
@@ -63,12 +80,6 @@ def made_pages(n: int, seed: int = 11, words: list[str] | None = None) -> list[t
         "comments": lambda: [((pick("div comments", "section comments", "div comment-list", "ol comments", "div discussion", "section responses", "div replies", "div comment", "ul comments"), *pick((), ("div comment",), ("li",), ("article comment",)), pick("p", "div", "p")), prose(2, 60), 0.0) for _ in range(rng.integers(1, 9))],
         "share": lambda: [((pick("div share", "div social", "ul social-links", "div tags", "div author-box", "div breadcrumb", "nav breadcrumbs", "div pagination", "div toolbar"), pick("a", "li", "span", "div")), prose(1, 4), 1.0) for _ in range(rng.integers(1, 5))],
     }
-    def part_of(kind: str) -> list[tuple]:
-        """The blocks of a part around an article; half of them with its usual words."""
-        usual = USUAL[kind].split(" ")
-        said = lambda t: " ".join(pick(*usual) if rng.random() < 0.6 else w for w in t.split(" ")) if rng.random() < 0.5 else t
-        return [(p, said(t), link) for p, t, link in around[kind]()]
-
     out = []
     for _ in range(n):
         whole = pick((), ("div page",), ("div wrapper",), ("div container",), ("div",))
@@ -82,29 +93,36 @@ def made_pages(n: int, seed: int = 11, words: list[str] | None = None) -> list[t
         if rng.random() < 0.9:
             page.append((("html", "head", "title"), prose(2, 12), 0.0, 0.0))
         for part in before:
-            page += [((*base, *p), t, link, 0.0) for p, t, link in part_of(part)]
+            page += [((*base, *p), t, link, 0.0) for p, t, link in around[part]()]
         main = [((*base, *holder, pick("h1", "h1", "h2", "header", "p")), prose(2, 14), 0.0, 1.0)] * int(rng.random() < 0.8)
         for _ in range(int(rng.integers(1, 14))):
             tail = pick(("p",), ("p",), ("p",), ("p",), ("h2",), ("h3",), ("blockquote", "p"), ("ul", "li"), ("ol", "li"), ("pre",), ("table", "tbody", "tr", "td"), ("figure", "figcaption"), ("div",), ("section", "p"), ())
             heading = tail and tail[0] in ("h2", "h3")
             main.append(((*base, *holder, *tail), prose(1, 8) if heading else prose(*pick((1, 6), (8, 60), (20, 120), (20, 120))), pick(0.0, 0.0, 0.1), 1.0))
             if rng.random() < 0.08:
-                main += [((*base, *holder, *p), t, link, 0.0) for p, t, link in part_of(pick("advert", "share", "notice", "sidebar", "form"))]
+                main += [((*base, *holder, *p), t, link, 0.0) for p, t, link in around[pick("advert", "share", "notice", "sidebar", "form")]()]
         page += main
         if rng.random() < 0.25:
-            page += [((*base, *holder, *p), t, link, 0.0) for p, t, link in part_of("comments")]
+            page += [((*base, *holder, *p), t, link, 0.0) for p, t, link in around["comments"]()]
         for part in after:
-            page += [((*base, *p), t, link, 0.0) for p, t, link in part_of(part)]
+            page += [((*base, *p), t, link, 0.0) for p, t, link in around[part]()]
         if rng.random() < 0.8:
-            page += [((*base, *p), t, link, 0.0) for p, t, link in part_of("footer")]
+            page += [((*base, *p), t, link, 0.0) for p, t, link in around["footer"]()]
         out.append(([Block(p, t, int(link * len(t))) for p, t, link, _ in page], np.array([y for *_, y in page], dtype=np.float32)))
     return out
 
 
-def train(made: int = MADE_PAGES) -> Labeller:
-    """The labeller of so many made pages: the same in every run, whatever the table."""
-    look = Featurizer()
+def train(pages: DataFrame | None = None, train_pages: int = TRAIN_PAGES, made: int = MADE_PAGES) -> Labeller:
+    """The labeller of made pages and of pages (page_id, html): at most train_pages of them are read to the driver, whole, of TRAIN_CHARS characters at most each."""
     examples = made_pages(made)
+    if pages is not None:
+        key = F.coalesce(F.xxhash64("page_id"), F.lit(0))
+        fit = pages.where(F.length("html").between(1, TRAIN_CHARS)).select(F.when(F.col("page_id").isNull(), F.xxhash64("html")).otherwise(key).alias("k"), "html")
+        ids = fit.select("k").distinct().orderBy("k").limit(train_pages)
+        sample = fit.join(F.broadcast(ids), "k", "left_semi").groupBy("k").agg(F.min("html").alias("html")).orderBy("k").collect()  # one of an id's rows
+        real = [b for b in (blocks(r.html) for r in sample) if 0 < len(b) <= TRAIN_BLOCKS]
+        examples = [(p, by_elements(p)) for p in real] + examples
+    look = Featurizer()
     return Labeller.fit([look.page(p) for p, _ in examples], [y for _, y in examples])
 
 
@@ -138,4 +156,4 @@ def main_text(pages: DataFrame, model: Labeller, html: str = "html", keep: float
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return main_text(pages, train())
+    return main_text(pages, train(pages))
