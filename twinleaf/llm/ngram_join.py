@@ -491,7 +491,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     placed = materialize(by_class.join(classes.select("n", "h1", "h2", "component"), ["n", "h1", "h2"]).select("component", "doc_id", "key", "times"), "join-placed")
     # nulls are last: a row without an id stays only where none has one
     stays = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("m")).select("component", F.col("m.key").alias("stays"))
-    judged = placed.join(stays, "component")
+    # written first: a join that nothing is grouped after may be split where one component is hot
+    judged = materialize(placed.join(stays, "component").select("key", "stays", "times"), "join-judged")
     gone = judged.where("key <> stays").select("key").withColumn("again", F.lit(False))
     repeated = judged.where("key = stays and times > 1").select("key").withColumn("again", F.lit(True))
     marked = materialize(gone.unionByName(repeated).distinct(), "join-marked")
