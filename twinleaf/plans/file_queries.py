@@ -193,17 +193,14 @@ def basis_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def basis_none_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of a report without a basis, and with one that matches nothing."""
     fragments, found = _detected_documents(spark, sf_dir)
-    members = materialize(found.members, "members")
-    found.members = members
     count = lambda x: report_groups(found, fragments, x).count()
     return spark.createDataFrame([(count(None), count(F.lit(False)))], "without long, unmatched long")
 
 
 def _marked(spark: SparkSession, sf_dir: str):
     fragments, found = _detected_documents(spark, sf_dir)
-    found.members = materialize(found.members, "members")
-    marked = with_basis(fragments, [], [BASIS_DIRECTORY], [BASIS_SUFFIX]).withColumnRenamed("is_basis", "in_basis")
-    return materialize(marked, "marked"), found
+    marks = with_basis(fragments.select("ord", "file_path"), [], [BASIS_DIRECTORY], [BASIS_SUFFIX]).select("ord", "file_path", F.col("is_basis").alias("in_basis")).distinct()
+    return fragments.join(materialize(marks, "marked"), ["ord", "file_path"], "left").withColumn("in_basis", F.coalesce("in_basis", F.lit(False))), found
 
 
 def report_json_basis(spark: SparkSession, sf_dir: str) -> DataFrame:

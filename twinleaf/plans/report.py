@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..operators.basis import basis_counts, basis_groups
+from ..operators.keys import among
+from ..operators.storage import materialize
 from .detect import Detection
 
 GROUP = ("group_id", "clone_type", "representative_hash", "similarity_score")
@@ -28,15 +30,16 @@ def report_members(found: Detection, fragments: DataFrame, basis: Column | None
     """
     from ..functions.tokens import tokens
 
-    rows = fragments.withColumn("token_count", F.size(tokens(F.col("source_text"))))
+    # the texts of other fragments neither move nor are tokenised
+    rows = fragments.where(among(F.col("ord"), found.members.select("ord")))
+    members, head, fields = found.members.select(*GROUP, "ord"), [*GROUP], [F.col(c).alias("file" if c == "file_path" else c) for c in MEMBER]
     if basis is not None:
         rows = rows.withColumn("is_basis", basis)
-    fields = [F.col(c).alias("file" if c == "file_path" else c) for c in MEMBER] + (["is_basis"] if basis is not None else [])
-    members = found.members.join(rows, "ord").select(*GROUP, "ord", *fields)
-    if basis is None:
-        return members
-    touched = basis_groups(found.members.join(rows.select("ord", "is_basis"), "ord"))
-    return members.join(touched.select("group_id", "clone_type", "basis_internal"), ["group_id", "clone_type"])
+        marks = materialize(rows.select("ord", "is_basis"), "marks")
+        touched = basis_groups(members.join(marks, "ord")).select("group_id", "clone_type", "basis_internal")
+        members, head, fields = members.join(touched, ["group_id", "clone_type"]), [*GROUP, "basis_internal"], [*fields, F.col("is_basis")]
+        rows = rows.where(among(F.col("ord"), (members := materialize(members, "touching")).select("ord")))
+    return members.join(rows.withColumn("token_count", F.size(tokens(F.col("source_text")))), "ord").select(*head, "ord", *fields)
 
 
 def report_groups(found: Detection, fragments: DataFrame, basis: Column | None = None) -> DataFrame:
